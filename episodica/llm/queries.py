@@ -32,6 +32,58 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return DensityClusters(table(spark, d, "episodes")).linked()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from .splitting import boundary_levels
+
+    return boundary_levels(table(spark, d, "episodes"))
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    from .splitting import split_texts
+
+    return split_texts(table(spark, d, "episodes"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from .nn_descent import NeighbourGraph
+
+    return NeighbourGraph(table(spark, d, "episodes")).exact_pairs(0.975).select("id_a", "id_b")
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from .nn_descent import NeighbourGraph
+
+    return NeighbourGraph(table(spark, d, "episodes"), rounds=2, fan=8).neighbours()
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    from .cooccurrence import associations
+
+    r = associations(table(spark, d, "episodes"))
+    return r.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "ab", "a", "b", "n", F.round("lift", 4).alias("lift"), F.round("llr", 3).alias("llr"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from .cooccurrence import associations
+
+    r = associations(table(spark, d, "episodes"))
+    kept = r.where((F.col("ab") >= 8) & (F.col("ab") * 1000 >= F.col("n")) & (F.col("ab") * F.col("n") >= 3 * F.col("a") * F.col("b")))
+    return kept.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    from .packing import pack, token_lengths
+
+    r = pack(token_lengths(table(spark, d, "documents")))
+    return r.select(F.col("id").alias("doc_id"), "piece", "start", "tokens", "container")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from .leakage import leaked
+
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
