@@ -26,6 +26,18 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return similar_classes(table(spark, d, "episodes"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from .personal import find
+
+    return find(table(spark, d, "episodes"), table(spark, d, "name_parts"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from .personal import redact
+
+    return redact(table(spark, d, "episodes"), table(spark, d, "name_parts"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .density import DensityClusters
 
