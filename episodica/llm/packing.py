@@ -99,8 +99,8 @@ def _weights(wanted: np.ndarray, capacity: int, rounds: int, rate: float) -> dic
     return {c: x / max(mean, 1e-9) for c, x in found.items()}
 
 
-def solve(histogram: np.ndarray, capacity: int, rounds: int = 600, rate: float = 1.0) -> list[tuple[np.ndarray, int]]:
-    """[(configuration, containers)] that hold exactly ``histogram`` (cell i counts the items of length i + 1)."""
+def _rounded(histogram: np.ndarray, capacity: int, found: dict[bytes, float], depth: float) -> list[tuple[np.ndarray, int]]:
+    """Whole containers from ``depth`` times the fractional solution; what is left goes largest first."""
     left = histogram.astype(np.int64).copy()
     size = np.arange(1, capacity + 1)
     plan: list[tuple[np.ndarray, int]] = []
@@ -112,11 +112,11 @@ def solve(histogram: np.ndarray, capacity: int, rounds: int = 600, rate: float =
             plan.append((config, times))
             left[used] -= times * config[used]
 
-    for raw, x in sorted(_weights(left.copy(), capacity, rounds, rate).items(), key=lambda z: (-z[1], z[0])):
+    for raw, x in sorted(found.items(), key=lambda z: (-z[1], z[0])):
         config = np.frombuffer(raw, np.int64)
         # A configuration that leaves room is left to the greedy part, which can fill that room.
-        if int(x) and int(config @ size) == capacity:
-            take(config, int(x))
+        if int(x * depth) and int(config @ size) == capacity:
+            take(config, int(x * depth))
     while left.any():
         config, room = np.zeros(capacity, np.int64), capacity
         while room > 0:
@@ -129,7 +129,18 @@ def solve(histogram: np.ndarray, capacity: int, rounds: int = 600, rate: float =
     return plan
 
 
-def pack(items: DataFrame, capacity: int = 2048, rounds: int = 600) -> DataFrame:
+def solve(histogram: np.ndarray, capacity: int, rounds: int = 300, rate: float = 1.0) -> list[tuple[np.ndarray, int]]:
+    """[(configuration, containers)] that hold exactly ``histogram`` (cell i counts the items of length i + 1).
+
+    The fractional solution is rounded at several depths, since rounding all of it can use up the
+    small items that the rest would need; the plan with the fewest containers is kept.
+    """
+    found = _weights(histogram.astype(np.int64), capacity, rounds, rate)
+    plans = [_rounded(histogram, capacity, found, depth) for depth in (1.0, 0.8, 0.6, 0.4)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def pack(items: DataFrame, capacity: int = 2048, rounds: int = 300) -> DataFrame:
     """(id, piece, start, tokens, container) for rows (id, tokens): ``start`` is the piece's first token in its item."""
     kind = dict(items.dtypes)["id"]
 

@@ -96,6 +96,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from .spam_pages import stuffed_pages
+
+    return stuffed_pages(table(spark, d, "documents")).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
