@@ -127,9 +127,14 @@ class NearDuplicates:
         return self._sets
 
     def candidates(self) -> DataFrame:
-        """Pairs of prefix groups of one scope that share a prefix token and may be similar enough by size."""
+        """(ga, gb): pairs of prefix groups of one scope that may be similar enough.
+
+        Two sets whose prefixes share c tokens share at most c more than the longer rest allows: a
+        token common to both that is in only one prefix ranks behind the end of the other prefix. So
+        besides the sizes the number of shared prefix tokens is held against the overlap needed.
+        Both sides of the join are the same rows, so they are exchanged once.
+        """
         t = self.t
-        pair = 2 * t / (1 + t)
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -138,15 +143,19 @@ class NearDuplicates:
                 n = b.column("n").to_numpy().astype(np.int64)
                 scope = np.repeat(b.column("scope_key").to_numpy().view(np.uint64), per)
                 key = kernels.mix(tokens ^ scope).view(np.int64)
-                indexed = kernels.grouped_positions(per) < np.repeat(n - _ceil(pair, n) + 1, per)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(b.column("prefix_group").to_numpy(), per)), pa.array(np.repeat(n, per).astype(np.int32)), pa.array(indexed)], names=["key", "g", "n", "indexed"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(b.column("prefix_group").to_numpy(), per)), pa.array(np.repeat(n, per).astype(np.int32))], names=["key", "g", "n"])
 
         length = F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator - F.lit(1e-9)).cast("int") + 1
         groups = self.sets().select("scope_key", "n", "prefix_group", F.substring("tokens", F.lit(1), length * 6).alias("prefix")).groupBy("scope_key", "n", "prefix_group").agg(F.first("prefix").alias("prefix"))
-        rows = groups.mapInArrow(entries, "key long, g long, n int, indexed boolean")
+        rows = groups.mapInArrow(entries, "key long, g long, n int")
         x = rows.select("key", F.col("g").alias("ga"), F.col("n").alias("na"))
-        y = rows.where("indexed").select("key", F.col("g").alias("gb"), F.col("n").alias("nb"))
-        return x.join(y, "key").where((F.col("na") >= F.col("nb")) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator) & ((F.col("na") > F.col("nb")) | (F.col("ga") > F.col("gb")))).select("ga", "gb").distinct()
+        y = rows.select("key", F.col("g").alias("gb"), F.col("n").alias("nb"))
+        fits = (F.col("na") >= F.col("nb")) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator) & ((F.col("na") > F.col("nb")) | (F.col("ga") > F.col("gb")))
+        shared = x.join(y, "key").where(fits).groupBy("ga", "gb", "na", "nb").count()
+        # n minus the prefix length is ceil(t n) - 1; the overlap needed is ceil(t / (1 + t) (na + nb)).
+        rest = F.ceil(F.greatest("na", "nb") * t.numerator / t.denominator - F.lit(1e-9)) - 1
+        need = (F.col("na") + F.col("nb")) * t.numerator / (t.numerator + t.denominator)
+        return shared.where(F.col("count") + rest >= need - 1e-9).select("ga", "gb")
 
     def class_pairs(self) -> DataFrame:
         """(ca, cb, na, nb, shared): verified pairs of different sets; one durable table."""
