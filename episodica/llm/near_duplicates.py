@@ -26,7 +26,8 @@ from ..workspace import durable, spread
 from . import kernels
 from .sketches import bloom, fixed_array
 
-SKETCH = 1 << 19
+SKETCH = 1 << 21
+_BITS = 512
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -70,6 +71,19 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
+def _parity(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A bitmap for each set in which every token flips one bit.
+
+    Where two sets differ in d tokens their bitmaps differ in at most d bits, so half of what the
+    sizes exceed the differing bits by bounds the overlap from above (exact bitmap filtering).
+    """
+    out = np.zeros((len(n), _BITS), bool)
+    spot = (kernels.mix(tokens ^ np.uint64(0xA24BAED4963EE407)) & np.uint64(_BITS - 1)).astype(np.int64)
+    cell, times = np.unique(np.repeat(np.arange(len(n)), n) * _BITS + spot, return_counts=True)
+    out.ravel()[cell[times % 2 == 1]] = True
+    return np.packbits(out, axis=1)
+
+
 def _ceil(x: Fraction, n: np.ndarray) -> np.ndarray:
     return -(-n * x.numerator // x.denominator)
 
@@ -97,7 +111,7 @@ class NearDuplicates:
             _, _, tokens = _shingle_sets(b.column(0).to_pylist(), k, least)
             cells += np.bincount(_cell(tokens), minlength=SKETCH).astype(cells.dtype)
 
-        ranks = spark.sparkContext.broadcast(fixed_array(self.rows.select("text"), count, SKETCH, "int64", np.add))
+        ranks = spark.sparkContext.broadcast(fixed_array(self.rows.select("text"), count, SKETCH, "int32", np.add))
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -176,10 +190,34 @@ class NearDuplicates:
         wanted = sets.select("id", "n", "class", "prefix_group", "tokens")
         # Rows of one class have equal sets; the copies are folded before the sets are moved.
         member = durable(wanted.mapInArrow(narrow, wanted.schema).groupBy("prefix_group", "class", "n").agg(F.first("tokens").alias("tokens")), "prefix-members")
-        a = member.select(F.col("prefix_group").alias("ga"), F.col("class").alias("ca"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-        b = member.select(F.col("prefix_group").alias("gb"), F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    bits = _parity(_unpack(b.column("tokens"))[0], b.column("n").to_numpy())
+                    yield pa.RecordBatch.from_arrays([b.column("prefix_group"), b.column("class"), b.column("n"), kernels.binary_column(bits.ravel(), np.full(len(bits), _BITS // 8))], names=["g", "class", "n", "bits"])
+
+        small = member.mapInArrow(mapped, "g long, class long, n int, bits binary")
+        a = small.select(F.col("g").alias("ga"), F.col("class").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+        b = small.select(F.col("g").alias("gb"), F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
         across = a.join(cand, "ga").join(b, "gb").where((F.col("nb") * t.denominator >= F.col("na") * t.numerator) & (F.col("na") >= F.col("nb")))
         inside = a.join(b, (F.col("ga") == F.col("gb")) & (F.col("ca") > F.col("cb")))
+
+        def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for z in batches:
+                if not z.num_rows:
+                    continue
+                x, y = (kernels.binary_values(z.column(c), "u1")[0].reshape(-1, _BITS // 8) for c in ("ba", "bb"))
+                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                n = z.column("na").to_numpy().astype(np.int64) + z.column("nb").to_numpy()
+                most = (n - differ) // 2
+                ok = pa.array(most * (t.numerator + t.denominator) >= n * t.numerator)
+                yield pa.RecordBatch.from_arrays([z.column(c).filter(ok) for c in ("ca", "cb", "na", "nb")], names=["ca", "cb", "na", "nb"])
+
+        pick = ["ca", "cb", "na", "nb", "ba", "bb"]
+        likely = across.select(*pick).union(inside.select(*pick)).mapInArrow(possible, "ca long, cb long, na int, nb int")
+        ta, tb = member.select(F.col("class").alias("ca"), F.col("tokens").alias("ta")), member.select(F.col("class").alias("cb"), F.col("tokens").alias("tb"))
+        full = likely.join(ta, "ca").join(tb, "cb")
         cols = ["ca", "cb", "na", "nb", "ta", "tb"]
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +240,7 @@ class NearDuplicates:
                     keep = pa.array(ok)
                     yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("ca", "cb", "na", "nb")] + [pa.array(shared[ok].astype(np.int32))], names=["ca", "cb", "na", "nb", "shared"])
 
-        pairs = across.select(*cols).union(inside.select(*cols)).mapInArrow(verify, "ca long, cb long, na int, nb int, shared int")
+        pairs = full.select(*cols).mapInArrow(verify, "ca long, cb long, na int, nb int, shared int")
         return durable(pairs, "class-pairs")
 
     def members(self) -> DataFrame:
