@@ -26,7 +26,7 @@ from ..workspace import durable, spread
 from . import kernels
 from .sketches import bloom, fixed_array
 
-SKETCH = 1 << 21
+SKETCH = 1 << 20
 _BITS = 512
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -165,11 +165,12 @@ class NearDuplicates:
         x = rows.select("key", F.col("g").alias("ga"), F.col("n").alias("na"))
         y = rows.select("key", F.col("g").alias("gb"), F.col("n").alias("nb"))
         fits = (F.col("na") >= F.col("nb")) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator) & ((F.col("na") > F.col("nb")) | (F.col("ga") > F.col("gb")))
-        shared = x.join(y, "key").where(fits).groupBy("ga", "gb", "na", "nb").count()
         # n minus the prefix length is ceil(t n) - 1; the overlap needed is ceil(t / (1 + t) (na + nb)).
         rest = F.ceil(F.greatest("na", "nb") * t.numerator / t.denominator - F.lit(1e-9)) - 1
-        need = (F.col("na") + F.col("nb")) * t.numerator / (t.numerator + t.denominator)
-        return shared.where(F.col("count") + rest >= need - 1e-9).select("ga", "gb")
+        need = F.ceil((F.col("na") + F.col("nb")) * t.numerator / (t.numerator + t.denominator) - F.lit(1e-9))
+        shared = x.join(y, "key").where(fits).select("ga", "gb", (need - rest).cast("int").alias("short"))
+        # The shortfall is the same in all rows of a pair: its rows are counted against it in one sum.
+        return shared.groupBy("ga", "gb").agg((F.count("*") - F.max("short")).alias("spare")).where("spare >= 0").select("ga", "gb")
 
     def class_pairs(self) -> DataFrame:
         """(ca, cb, na, nb, shared): verified pairs of different sets; one durable table."""
