@@ -31,4 +31,4 @@ def tokens(*fields: Column) -> Column:
 
 def contains_ilike(field: Column, query: str) -> Column:
     """Case-insensitive substring match; ``%`` and ``_`` in the query act as wildcards, a backslash does not escape."""
-    return field.ilike(F.lit("%" + query.replace("\\", "\\\\") + "%"))
+    return field.ilike("%" + query.replace("\\", "\\\\") + "%")
