@@ -106,5 +106,29 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
 
+_WORDS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
+_RUNS = "unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' ')))"
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+_BASKETS = f"""b AS (SELECT DISTINCT ON (id) id, list_distinct(list_filter(list_transform(tags, lambda x: lower(trim(x, {_BLANK}))), lambda x: x IS NOT NULL AND x <> '')) AS t FROM episodes WHERE id IS NOT NULL),
+c AS (SELECT id, unnest(t) AS tag FROM b), n AS (SELECT count(DISTINCT id) AS n FROM c), s AS (SELECT tag, count(*) AS k FROM c GROUP BY tag),
+p AS (SELECT x.tag AS tag_a, y.tag AS tag_b, count(*) AS ab FROM c x JOIN c y ON x.id = y.id AND x.tag < y.tag GROUP BY ALL),
+m AS (SELECT tag_a, tag_b, ab, sa.k AS a, sb.k AS b, n FROM p JOIN s sa ON sa.tag = tag_a JOIN s sb ON sb.tag = tag_b, n)"""
+
+
+def _xlogx(x: str) -> str:
+    return f"(CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    longest = "list_max(list_transform({}, lambda x: length(trim(x, chr(32) || chr(9) || chr(10) || chr(13)))))"
+    paragraphs = longest.format("string_split_regex(content, '\\n[ \\t\\r]*\\n')")
+    sentences = longest.format("string_split_regex(regexp_replace(content, '([.!?])[ \\t\\r]', '\\1\\n', 'g'), '\\n')")
+    words = longest.format("string_split_regex(content, '[ \\t\\r\\n]+')")
+    gain = " + ".join(_xlogx(x) for x in ("ab", "a - ab", "b - ab", "n - a - b + ab", "n"))
+    loss = " - ".join(_xlogx(x) for x in ("a", "n - a", "b", "n - b"))
+    return {
+        "p4_found": f"WITH e AS (SELECT DISTINCT ON (id) id, content FROM episodes WHERE id IS NOT NULL AND length(content) > 2000) SELECT id, CASE WHEN {paragraphs} <= 2000 THEN 'paragraph' WHEN {sentences} <= 2000 THEN 'sentence' WHEN {words} <= 2000 THEN 'word' ELSE 'none' END AS boundary FROM e",
+        "p6_found": f"WITH {_BASKETS} SELECT tag_a, tag_b FROM m WHERE ab >= 8 AND ab * 1000 >= n AND ab * n >= 3 * a * b",
+        "p6_pairs": f"WITH {_BASKETS} SELECT tag_a, tag_b, ab, a, b, n, round(ab * n / (a * b)::DOUBLE, 4) AS lift, round(greatest(0, 2 * ({gain} - {loss})), 3) AS llr FROM m",
+        "p8_found": f"WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format('item_text')} AS w FROM eval_items), x AS (SELECT doc_id, {_RUNS} AS r FROM d WHERE len(w) >= 13), y AS (SELECT item_id, {_RUNS} AS r FROM i WHERE len(w) >= 13) SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (r)",
+    }
