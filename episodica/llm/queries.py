@@ -122,7 +122,7 @@ def _xlogx(x: str) -> str:
 def oracle_sql() -> dict[str, str]:
     longest = "list_max(list_transform({}, lambda x: length(trim(x, chr(32) || chr(9) || chr(10) || chr(13)))))"
     paragraphs = longest.format("string_split_regex(content, '\\n[ \\t\\r]*\\n')")
-    sentences = longest.format("string_split_regex(regexp_replace(content, '([.!?])[ \\t\\r]', '\\1\\n', 'g'), '\\n')")
+    sentences = longest.format("string_split_regex(regexp_replace(content, '([.!?])[ \\t\\r]', '\\1' || chr(10), 'g'), '\\n')")
     words = longest.format("string_split_regex(content, '[ \\t\\r\\n]+')")
     gain = " + ".join(_xlogx(x) for x in ("ab", "a - ab", "b - ab", "n - a - b + ab", "n"))
     loss = " - ".join(_xlogx(x) for x in ("a", "n - a", "b", "n - b"))
