@@ -145,7 +145,8 @@ class NearDuplicates:
 
         Two sets whose prefixes share c tokens share at most c more than the longer rest allows: a
         token common to both that is in only one prefix ranks behind the end of the other prefix. So
-        besides the sizes the number of shared prefix tokens is held against the overlap needed.
+        besides the sizes the number of shared prefix tokens is held against the overlap needed, and
+        one of them must stand early enough in both sets.
         Both sides of the join are the same rows, so they are exchanged once.
         """
         t = self.t
@@ -157,20 +158,25 @@ class NearDuplicates:
                 n = b.column("n").to_numpy().astype(np.int64)
                 scope = np.repeat(b.column("scope_key").to_numpy().view(np.uint64), per)
                 key = kernels.mix(tokens ^ scope).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(b.column("prefix_group").to_numpy(), per)), pa.array(np.repeat(n, per).astype(np.int32))], names=["key", "g", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(b.column("prefix_group").to_numpy(), per)), pa.array(np.repeat(n << 31, per) | kernels.grouped_positions(per))], names=["key", "g", "at"])
 
         length = F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator - F.lit(1e-9)).cast("int") + 1
         groups = self.sets().select("scope_key", "n", "prefix_group", F.substring("tokens", F.lit(1), length * 6).alias("prefix")).groupBy("scope_key", "n", "prefix_group").agg(F.first("prefix").alias("prefix"))
-        rows = groups.mapInArrow(entries, "key long, g long, n int")
-        x = rows.select("key", F.col("g").alias("ga"), F.col("n").alias("na"))
-        y = rows.select("key", F.col("g").alias("gb"), F.col("n").alias("nb"))
+        rows = groups.mapInArrow(entries, "key long, g long, at long")
+
+        def side(k: str) -> DataFrame:
+            size, place = F.shiftright("at", 31).alias(f"n{k}"), F.col("at").bitwiseAND((1 << 31) - 1).alias(f"i{k}")
+            return rows.select("key", F.col("g").alias(f"g{k}"), size, place)
+
         fits = (F.col("na") >= F.col("nb")) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator) & ((F.col("na") > F.col("nb")) | (F.col("ga") > F.col("gb")))
         # n minus the prefix length is ceil(t n) - 1; the overlap needed is ceil(t / (1 + t) (na + nb)).
         rest = F.ceil(F.greatest("na", "nb") * t.numerator / t.denominator - F.lit(1e-9)) - 1
         need = F.ceil((F.col("na") + F.col("nb")) * t.numerator / (t.numerator + t.denominator) - F.lit(1e-9))
-        shared = x.join(y, "key").where(fits).select("ga", "gb", (need - rest).cast("int").alias("short"))
+        # At least one shared token stands early enough in both for the overlap to be reached after it.
+        early = (F.col("ia") <= F.col("na") - need) & (F.col("ib") <= F.col("nb") - need)
+        shared = side("a").join(side("b"), "key").where(fits).select("ga", "gb", (need - rest).cast("int").alias("short"), early.alias("early")).where("early or short > 1")
         # The shortfall is the same in all rows of a pair: its rows are counted against it in one sum.
-        return shared.groupBy("ga", "gb").agg((F.count("*") - F.max("short")).alias("spare")).where("spare >= 0").select("ga", "gb")
+        return shared.groupBy("ga", "gb").agg((F.count("*") - F.max("short")).alias("spare"), F.max("early").alias("early")).where("spare >= 0 and early").select("ga", "gb")
 
     def class_pairs(self) -> DataFrame:
         """(ca, cb, na, nb, shared): verified pairs of different sets; one durable table."""
