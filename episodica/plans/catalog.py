@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import query_terms
 from ..operators import filters, keyword, ranking
 from ..sources.tables import table
+from ..workspace import spread
 from . import reembed, requests
 from .params import SearchParams
 from .search import search, substring_search
@@ -73,7 +74,7 @@ def _reembed_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keyword_postings(spark: SparkSession, d: str) -> DataFrame:
-    index = keyword.postings(table(spark, d, "episodes"))
+    index = keyword.postings(spread(table(spark, d, "episodes").select("id", "content", "name")))
     e = table(spark, d, "episodes").select("id", keyword.tokens(F.col("content"), F.col("name")).alias("w")).dropDuplicates(["id"]).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("a")).first()
     scores = keyword.bm25_from_postings(index, query_terms(_TEXT), e["n"], e["a"] or 1.0)
     return ranking.top(scores.select("id", F.round("score", 6).alias("score")), 50, "score")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_ilike, query_terms
 from ..functions.vector import cosine
 from ..operators import filters, keyword, ranking
+from ..workspace import durable, spread
 from .params import MODES, SearchParams
 
 _SHOWN = ["id", "name", "source", "group_id", "created_at"]
@@ -65,7 +66,10 @@ def search(episodes: DataFrame, p: SearchParams, as_of: datetime, keyword_ready:
     keep = F.lit(True)
     for c in filters.predicates(p, as_of, branch == "hybrid"):
         keep = keep & F.coalesce(c, F.lit(False))
-    counted = keyword.term_counts(episodes, terms, *_SHOWN, *boost, *similarity, keep.alias("_keep")).dropDuplicates(["id"])
+    # The texts are read once: what is kept of a row is a few numbers, written before statistics and scores use them.
+    needed = ["content", "expired_at", *_SHOWN, *(["tags"] if p.tags else []), *(["embedding"] if branch == "hybrid" else [])]
+    counted = keyword.term_counts(spread(episodes.select(*needed)), terms, *_SHOWN, *boost, *similarity, keep.alias("_keep")).dropDuplicates(["id"])
+    counted = durable(counted, "term-counts")
     stats = keyword.corpus_stats(counted, len(terms))
     scored = counted.crossJoin(F.broadcast(stats)).where("_keep").withColumn("bm25", keyword.bm25(len(terms)))
     if branch == "keyword":
