@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import durable, spread
 from . import kernels
 from .forest import boruvka, local_forest
+from .hierarchy import condensed
 from .vectors import rows_of, unit_vectors
 
 _STRIP = 1024
@@ -132,8 +133,6 @@ class DensityClusters:
         found = self._blocks().groupBy("key").applyInArrow(nearest, "node long, other long, copies int, distance float").groupBy("node", "other").agg(F.first("copies").alias("copies"), F.min("distance").alias("distance"))
         own = self.vectors.groupBy("node").agg(F.countDistinct("id").cast("int").alias("copies")).select("node", F.col("node").alias("other"), "copies", F.lit(0.0).cast("float").alias("distance"))
         # At most min_samples neighbours a node and block pair arrive here, so the windows are short.
-        from pyspark.sql import Window
-
         seen = F.sum("copies").over(Window.partitionBy("node").orderBy("distance", "other").rowsBetween(Window.unboundedPreceding, 0))
         return found.union(own).withColumn("seen", seen).where(F.col("seen") >= k).groupBy("node").agg(F.min("distance").alias("core"))
 
@@ -165,3 +164,19 @@ class DensityClusters:
         placed = self.members.join(labels, "node", "left").select("id", F.coalesce("comp", "node").alias("comp"))
         keys = placed.groupBy("comp").agg(F.min("id").alias("cluster_key"), F.count("*").alias("size")).where(F.col("size") >= self.min_size)
         return placed.join(keys, "comp").select("id", "cluster_key")
+
+    def clusters(self, levels: int = 8, exemplars: int = 3) -> tuple[DataFrame, DataFrame]:
+        """The most stable clusters of the condensed hierarchy: (id, cluster_key, persistence) of their members, and
+        (cluster_key, size, stability, exemplars) with the ids of the most persistent members."""
+        tree, _ = self.forest()
+        counts = self.vectors.groupBy("node").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("least"))
+        chosen, stability = condensed(tree, counts, 1 - self.cos, self.min_size, levels)
+        placed = durable(self.members.join(chosen, "node").select("id", "cluster", "persistence"), "cluster-members")
+        keys = placed.groupBy("cluster").agg(F.min("id").alias("cluster_key"), F.count("*").alias("size"))
+        # The best few of each cluster, found by partial aggregates a cluster and part, so that no cluster meets in one task.
+        order = F.struct((-F.col("persistence")).alias("p"), "id")
+        part = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
+        few = part.withColumn("r", F.row_number().over(Window.partitionBy("cluster", "part").orderBy(order))).where(F.col("r") <= exemplars)
+        best = few.groupBy("cluster").agg(F.slice(F.sort_array(F.collect_list(order)), 1, exemplars).alias("z")).select("cluster", F.array_join(F.transform("z", lambda x: x["id"].cast("string")), ",").alias("exemplars"))
+        described = keys.join(stability, "cluster").join(best, "cluster")
+        return placed.join(keys, "cluster").select("id", "cluster_key", "persistence"), described.select("cluster_key", "size", "stability", "exemplars")

@@ -85,6 +85,8 @@ def _weights(wanted: np.ndarray, capacity: int, rounds: int, rate: float) -> dic
     present = wanted > 0
     covered = np.zeros(capacity)
     found: dict[bytes, float] = {}
+    if not present.any():
+        return found
     for _ in range(rounds):
         share = np.where(present, covered / np.maximum(wanted, 1), 0.0)
         prices = np.where(present, np.exp(-rate * (share - share[present].min())) / np.maximum(wanted, 1), 0.0)
@@ -95,7 +97,7 @@ def _weights(wanted: np.ndarray, capacity: int, rounds: int, rate: float) -> dic
         step = float((wanted[used] / config[used]).min())
         covered += step * config
         found[config.tobytes()] = found.get(config.tobytes(), 0.0) + step
-    mean = float((covered[present] / wanted[present]).mean()) if present.any() else 1.0
+    mean = float((covered[present] / wanted[present]).mean())
     return {c: x / max(mean, 1e-9) for c, x in found.items()}
 
 

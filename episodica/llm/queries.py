@@ -44,6 +44,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return DensityClusters(table(spark, d, "episodes")).linked()
 
 
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    from .density import DensityClusters
+
+    return DensityClusters(table(spark, d, "episodes"), min_samples=5).clusters()[1]
+
+
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    from .density import DensityClusters
+
+    return DensityClusters(table(spark, d, "episodes"), min_samples=5).clusters()[0]
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from .splitting import boundary_levels
 
