@@ -77,7 +77,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     from .nn_descent import NeighbourGraph
 
-    return NeighbourGraph(table(spark, d, "episodes"), rounds=2, fan=8).neighbours()
+    return NeighbourGraph(table(spark, d, "episodes"), leaf_rows=2048, leaf_cap=8192, rounds=3, fan=10).neighbours()
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
