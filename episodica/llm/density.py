@@ -61,7 +61,7 @@ def _similar(table: pa.Table, dim: int, cos: float) -> Iterator[tuple[np.ndarray
 
 
 class DensityClusters:
-    def __init__(self, df: DataFrame, *, id_col: str = "id", vector_col: str = "embedding", scope_col: str | None = "group_id", dim: int = 64, min_cosine: float = 0.80, min_size: int = 5, min_samples: int = 1, bucket_rows: int = 32768, block_rows: int = 8192, miss: float = 0.001, seed: int = 11):
+    def __init__(self, df: DataFrame, *, id_col: str = "id", vector_col: str = "embedding", scope_col: str | None = "group_id", dim: int = 64, min_cosine: float = 0.80, min_size: int = 5, min_samples: int = 1, bucket_rows: int = 32768, block_rows: int = 16384, miss: float = 0.001, seed: int = 11):
         self.dim, self.cos, self.min_size, self.min_samples = dim, min_cosine, min_size, min_samples
         self.bucket_rows, self.block_rows, self.miss, self.seed = bucket_rows, block_rows, miss, seed
         vectors = unit_vectors(spread(df.select(*{id_col, vector_col, *([scope_col] if scope_col else [])})), id_col=id_col, vector_col=vector_col, scope_col=scope_col, dim=dim)
