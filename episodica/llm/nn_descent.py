@@ -3,9 +3,11 @@
 A forest of hyperplane trees (fitted on a bounded sample of ``fit_rows`` vectors, applied to all)
 gives each vector its first neighbours from the leaves it falls in. Then rounds of Spark joins bring
 every vector to its neighbours and reverse neighbours, where neighbours of neighbours are compared
-and offered to each other, until fewer than ``delta`` of the list entries change or ``rounds`` are
-done. Vectors travel as 8-bit values; ``exact_pairs`` recomputes reported cosines from the stored
-ones. Single queries walk the finished graph greedily (``search``).
+and offered to each other, until at most ``delta`` of the list entries change or, where it is given,
+``rounds`` are done. Two records are compared only if one is new to the other's list since the last
+round. The stored vectors travel, so lists are ranked by their cosines. Trees and rounds are worked
+off in passes whose shuffle files are dropped, so that not all of them lie on disk at once. Single
+queries walk the finished graph greedily (``search``).
 
 The result is approximate as stated by the problem; recall is measured in the tests. What is bounded
 (lists of ``k`` + slack entries, ``fan`` neighbours offered a round, leaves of ``leaf_cap`` rows) are
@@ -21,41 +23,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..workspace import durable, release, spread
+from ..workspace import collect_garbage, durable, release, spread
 from . import kernels
 from .vectors import rows_of, unit_vectors
 
-_LISTS = "node long, nbrs binary, sims binary"
+_LISTS = "node long, nbrs binary, sims binary, news binary"
+#: Rows that meet in one pass of a round, passes of a round at most, and tables of offers held before they are merged.
+_PASS_ROWS, _PASSES, _HELD = 400_000, 16, 4
 
 
-def _quantize(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    scale = np.abs(x).max(axis=1) / 127
-    return np.rint(x / scale[:, None]).astype(np.int8), scale.astype(np.float32)
+def _packed(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray, new: np.ndarray, names: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names), kernels.binary_column(nbr.astype("<i8"), counts), kernels.binary_column(sim.astype("<f4"), counts), kernels.binary_column(new.astype("u1"), counts)], names=["node", "nbrs", "sims", "news"])
 
 
-def _lists(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray, keep: int) -> pa.RecordBatch:
-    """The ``keep`` best distinct neighbours of each node as packed lists, nodes in order."""
-    order = np.lexsort((-sim, nbr, node))
-    node, nbr, sim = node[order], nbr[order], sim[order]
-    new = np.ones(len(node), bool)
-    new[1:] = (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])
-    node, nbr, sim = node[new], nbr[new], sim[new]
+def _lists(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray, new: np.ndarray, keep: int) -> pa.RecordBatch:
+    """The ``keep`` best distinct neighbours of each node as packed lists, nodes in order; an old entry stays old."""
+    order = np.lexsort((new, nbr, node))
+    node, nbr, sim, new = node[order], nbr[order], sim[order], new[order]
+    one = np.ones(len(node), bool)
+    one[1:] = (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])
+    node, nbr, sim, new = node[one], nbr[one], sim[one], new[one]
     order = np.lexsort((nbr, -sim, node))
-    node, nbr, sim = node[order], nbr[order], sim[order]
+    node, nbr, sim, new = node[order], nbr[order], sim[order], new[order]
     _, counts = np.unique(node, return_counts=True)
     top = kernels.grouped_positions(counts) < keep
-    node, nbr, sim = node[top], nbr[top], sim[top]
+    node, nbr, sim, new = node[top], nbr[top], sim[top], new[top]
     names, counts = np.unique(node, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(names), kernels.binary_column(nbr.astype("<i8"), counts), kernels.binary_column(sim.astype("<f4"), counts)], names=["node", "nbrs", "sims"])
+    return _packed(node, nbr, sim, new, names, counts)
 
 
-def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     nbr, offsets = kernels.binary_values(b.column("nbrs"), "<i8")
     sim, _ = kernels.binary_values(b.column("sims"), "<f4")
-    return np.repeat(b.column("node").to_numpy(), np.diff(offsets)), nbr, sim
+    new, _ = kernels.binary_values(b.column("news"), "u1")
+    return np.repeat(b.column("node").to_numpy(), np.diff(offsets)), nbr, sim, new
+
+
+def _aged(lists: DataFrame) -> DataFrame:
+    """The lists with every entry marked as old."""
+
+    def age(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                node, nbr, sim, new = _flat(b)
+                names = b.column("node").to_numpy()
+                yield _packed(node, nbr, sim, np.zeros_like(new), names, np.diff(kernels.binary_values(b.column("nbrs"), "<i8")[1]))
+
+    return lists.mapInArrow(age, _LISTS)
 
 
 def _merged(lists: DataFrame, keep: int) -> DataFrame:
@@ -80,7 +98,7 @@ def _merged(lists: DataFrame, keep: int) -> DataFrame:
 
 
 class NeighbourGraph:
-    def __init__(self, df: DataFrame, *, id_col: str = "id", vector_col: str = "embedding", dim: int = 64, k: int = 10, slack: int = 4, trees: int = 6, leaf_rows: int = 512, leaf_cap: int = 2048, fit_rows: int = 32768, fan: int = 5, rounds: int = 1, delta: float = 0.001, seed: int = 5):
+    def __init__(self, df: DataFrame, *, id_col: str = "id", vector_col: str = "embedding", dim: int = 64, k: int = 10, slack: int = 4, trees: int = 6, leaf_rows: int = 2048, leaf_cap: int = 8192, fit_rows: int = 32768, fan: int = 10, rounds: int | None = None, delta: float = 0.001, seed: int = 5):
         self.dim, self.k, self.keep, self.trees, self.leaf_rows, self.leaf_cap, self.fit_rows = dim, k, k + slack, trees, leaf_rows, leaf_cap, fit_rows
         self.fan, self.rounds, self.delta, self.seed = fan, rounds, delta, seed
         v = unit_vectors(spread(df.select(*{id_col, vector_col})), id_col=id_col, vector_col=vector_col, scope_col=None, dim=dim)
@@ -113,11 +131,25 @@ class NeighbourGraph:
         return out
 
     def _first_lists(self) -> DataFrame:
-        dim, keep, cap, seed = self.dim, self.keep, self.leaf_cap, self.seed
         forest = self.vectors.sparkSession.sparkContext.broadcast(self._fit(self.vectors.count()))
+        lists = None
+        for first in range(0, self.trees, 2):
+            found = self._leaf_lists(forest, first, min(first + 2, self.trees))
+            following = durable(_merged(found if lists is None else lists.union(found), self.keep), "neighbour-graph")
+            if lists is not None:
+                release(lists)
+            lists = following
+            del found
+            collect_garbage(lists)
+        return lists
+
+    def _leaf_lists(self, forest: Broadcast, start: int, stop: int) -> DataFrame:
+        """Lists from the leaves of the trees from ``start`` up to ``stop``."""
+        dim, keep, cap = self.dim, self.keep, self.leaf_cap
 
         def leaves(x: np.ndarray) -> Iterator[np.ndarray]:
-            for t, (planes, at) in enumerate(forest.value):
+            for t in range(start, stop):
+                planes, at = forest.value[t]
                 node = np.zeros(len(x), np.int64)
                 while len(planes) and node[0] < len(planes):
                     node = 2 * node + 1 + ((x * planes[node]).sum(axis=1) > at[node])
@@ -132,33 +164,33 @@ class NeighbourGraph:
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    x = rows_of(b.column("vec"), "<f4", dim)
-                    q, scale = _quantize(x)
-                    q = kernels.binary_column(q.ravel(), np.full(len(x), dim))
-                    for leaf in leaves(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("node"), q, pa.array(scale)], names=["leaf", "node", "q", "scale"])
+                    for leaf in leaves(rows_of(b.column("vec"), "<f4", dim)):
+                        yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("node"), b.column("vec")], names=["leaf", "node", "vec"])
 
         full = durable(self.vectors.select("vec").mapInArrow(names, "leaf long").groupBy("leaf").count().where(F.col("count") > cap).select("leaf", F.ceil(F.col("count") / cap).alias("parts")), "full-leaves")
-        placed = self.vectors.select("node", "vec").mapInArrow(place, "leaf long, node long, q binary, scale float")
+        placed = self.vectors.select("node", "vec").mapInArrow(place, "leaf long, node long, vec binary")
         # Leaves of twice the wanted size hold equal vectors only; their list is small unless the data are mostly copies.
         side = F.broadcast(full) if full.count() <= 100_000 else full
         placed = placed.join(side, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))).drop("parts")
 
         def compare(table: pa.Table) -> pa.Table:
             node, first = np.unique(table.column("node").to_numpy(), return_index=True)
-            x = rows_of(table.column("q"), "int8", dim)[first].astype(np.float32) * table.column("scale").to_numpy()[first, None]
+            x = rows_of(table.column("vec"), "<f4", dim)[first]
             m, r = len(node), min(keep, len(node) - 1)
             if r <= 0:
-                return pa.table({"node": pa.array([], pa.int64()), "nbrs": pa.array([], pa.binary()), "sims": pa.array([], pa.binary())})
-            c = x @ x.T
-            np.fill_diagonal(c, -2)
-            best = np.argpartition(c, m - r, axis=1)[:, m - r :]
-            per = np.full(m, r)
-            return pa.table({"node": pa.array(node), "nbrs": kernels.binary_column(node[best].astype("<i8").ravel(), per), "sims": kernels.binary_column(np.take_along_axis(c, best, 1).astype("<f4").ravel(), per)})
+                return pa.table({"node": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("nbrs", "sims", "news")}})
+            best, sims = np.empty((m, r), np.int64), np.empty((m, r), np.float32)
+            for k in range(0, m, 1024):
+                c = x[k : k + 1024] @ x.T
+                own = np.arange(len(c))
+                c[own, k + own] = -2
+                best[k : k + 1024] = np.argpartition(c, m - r, axis=1)[:, m - r :]
+                sims[k : k + 1024] = np.take_along_axis(c, best[k : k + 1024], 1)
+            return pa.Table.from_batches([_packed(node, node[best].ravel(), sims.ravel(), np.ones(m * r), node, np.full(m, r))])
 
         return placed.groupBy("leaf", "part").applyInArrow(compare, _LISTS)
 
-    def _round(self, graph: DataFrame) -> DataFrame:
+    def _round(self, graph: DataFrame) -> list[DataFrame]:
         """Lists offered to nodes by their neighbours' neighbours, each better than the node's last entry."""
         dim, fan, keep = self.dim, self.fan, self.keep
 
@@ -166,29 +198,25 @@ class NeighbourGraph:
             for b in batches:
                 if not b.num_rows:
                     continue
-                node, nbr, sim = _flat(b)
+                node, nbr, sim, new = _flat(b)
                 _, counts = np.unique(node, return_counts=True)
                 near = kernels.grouped_positions(counts) < fan
-                node, nbr, sim = node[near], nbr[near], sim[near]
-                yield _lists(np.concatenate([node, nbr]), np.concatenate([nbr, node]), np.concatenate([sim, sim]), 2 * fan)
-
-        def quantized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    q, scale = _quantize(rows_of(b.column("vec"), "<f4", dim))
-                    yield pa.RecordBatch.from_arrays([b.column("node"), kernels.binary_column(q.ravel(), np.full(len(q), dim)), pa.array(scale)], names=["node", "q", "scale"])
+                node, nbr, sim, new = node[near], nbr[near], sim[near], new[near]
+                yield _lists(np.concatenate([node, nbr]), np.concatenate([nbr, node]), np.concatenate([sim, sim]), np.concatenate([new, new]), 2 * fan)
 
         def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    node, nbr, _ = _flat(b)
-                    own = b.column("node").to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, own])), pa.array(np.concatenate([nbr, own]))], names=["at", "node"])
+                    node, nbr, _, new = _flat(b)
+                    # Where nothing is new, all have met before.
+                    own = np.unique(node[new > 0])
+                    at = np.isin(node, own)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[at], own])), pa.array(np.concatenate([nbr[at], own])), pa.array(np.concatenate([new[at] > 0, np.zeros(len(own), bool)]))], names=["at", "node", "new"])
 
         def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    _, _, sim = _flat(b)
+                    _, _, sim, _ = _flat(b)
                     n = np.diff(kernels.binary_values(b.column("nbrs"), "<i8")[1])
                     last = np.where(n < keep, np.float32(-2), sim[np.cumsum(n) - 1])
                     yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(last)], names=["node", "last"])
@@ -206,7 +234,8 @@ class NeighbourGraph:
                     held, t, at = t.slice(cut), t.slice(0, cut), at[:cut]
                 if not len(at):
                     continue
-                x = rows_of(t.column("q"), "int8", dim).astype(np.float32) * t.column("scale").to_numpy()[:, None]
+                x = rows_of(t.column("vec"), "<f4", dim)
+                new = t.column("new").to_numpy(zero_copy_only=False)
                 node, last = t.column("node").to_numpy(), t.column("last").to_numpy()
                 _, start, count = np.unique(at, return_index=True, return_counts=True)
                 got = []
@@ -217,47 +246,87 @@ class NeighbourGraph:
                         rows = block[:, None] + np.arange(m)
                         y = x[rows]
                         c = y @ y.transpose(0, 2, 1)
-                        better = (c > last[rows][:, :, None]) & (node[rows][:, :, None] != node[rows][:, None, :])
+                        better = (c > last[rows][:, :, None]) & (node[rows][:, :, None] != node[rows][:, None, :]) & (new[rows][:, :, None] | new[rows][:, None, :])
                         g, i, j = np.nonzero(better)
                         got.append((node[rows[g, i]], node[rows[g, j]], c[g, i, j]))
                 if got:
-                    yield _lists(*(np.concatenate(z) for z in zip(*got)), keep)
+                    u, v, c = (np.concatenate(z) for z in zip(*got))
+                    yield _lists(u, v, c, np.ones(len(u), np.uint8), keep)
 
-        sent = _merged(graph.mapInArrow(both_ways, _LISTS), 2 * fan).mapInArrow(edges, "at long, node long")
+        sent = durable(_merged(graph.mapInArrow(both_ways, _LISTS), 2 * fan).mapInArrow(edges, "at long, node long, new boolean"), "sent-nodes")
         bound = graph.mapInArrow(least, "node long, last float")
-        moving = self.vectors.select("node", "vec").mapInArrow(quantized, "node long, q binary, scale float").dropDuplicates(["node"]).join(bound, "node")
-        return sent.join(moving, "node").repartition("at").sortWithinPartitions("at").mapInArrow(meet, _LISTS)
+        moving = durable(self.vectors.select("node", "vec").dropDuplicates(["node"]).join(bound, "node"), "moving-vectors")
+        passes = max(1, min(_PASSES, -(-sent.count() // _PASS_ROWS)))
+        offered: list[DataFrame] = []
+        for p in range(passes):
+            if len(offered) == _HELD:
+                every = offered[0]
+                for o in offered[1:]:
+                    every = every.union(o)
+                held = durable(_merged(every, keep), "offered-neighbours")
+                for o in offered:
+                    release(o)
+                offered = [held]
+                del every, o
+            here = sent.where(F.pmod(F.xxhash64("at", F.lit(1)), F.lit(passes)) == p)
+            met = here.join(moving, "node").repartition("at").sortWithinPartitions("at").mapInArrow(meet, _LISTS)
+            offered.append(durable(_merged(met, keep), "offered-neighbours"))
+            del here, met
+            collect_garbage(sent)
+        release(sent)
+        release(moving)
+        return offered
+
+    def _changed(self, graph: DataFrame) -> int:
+        """New entries among the ``k`` nearest."""
+        k = self.k
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    node, _, _, new = _flat(b)
+                    _, counts = np.unique(node, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(new[kernels.grouped_positions(counts) < k].sum())])], names=["changed"])
+
+        return graph.mapInArrow(count, "changed long").agg(F.sum("changed")).first()[0] or 0
 
     def graph(self) -> DataFrame:
-        """(node, nbrs, sims): packed lists of the best neighbours, best first."""
+        """(node, nbrs, sims, news): packed lists of the best neighbours, best first."""
         if self._graph is None:
-            graph = durable(_merged(self._first_lists(), self.keep), "neighbour-graph")
-            for _ in range(self.rounds):
-                offered = durable(self._round(graph), "offered-neighbours")
-                size = offered.agg(F.sum(F.length("sims"))).first()[0] or 0
-                following = durable(_merged(graph.union(offered), self.keep), "neighbour-graph")
-                release(graph)
-                release(offered)
+            graph = self._first_lists()
+            nodes = graph.count()
+            self.changes: list[int] = []
+            while self.rounds is None or len(self.changes) < self.rounds:
+                offered = self._round(graph)
+                every = _aged(graph)
+                for o in offered:
+                    every = every.union(o)
+                following = durable(_merged(every, self.keep), "neighbour-graph")
+                for t in (graph, *offered):
+                    release(t)
                 graph = following
-                if size < 4 * self.delta * self.k * graph.count():
+                del every, offered, t
+                collect_garbage(graph)
+                self.changes.append(self._changed(graph))
+                if self.changes[-1] <= self.delta * self.k * nodes:
                     break
             self._graph = graph
         return self._graph
 
     def edges(self) -> DataFrame:
-        """(a, b, sim): directed entries of the lists, with the 8-bit similarity."""
+        """(a, b, sim): directed entries of the lists, with the similarity in single precision."""
 
         def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in _flat(b)], names=["a", "b", "sim"])
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in _flat(b)[:3]], names=["a", "b", "sim"])
 
         return self.graph().mapInArrow(flat, "a long, b long, sim float")
 
     def exact_pairs(self, least: float) -> DataFrame:
         """(id_a, id_b, cosine): pairs where one is among the ``k`` nearest of the other and the exact cosine is >= ``least``."""
         dim = self.dim
-        near = self.edges().where(F.col("sim") >= least - 0.01)
+        near = self.edges().where(F.col("sim") >= least - 1e-5)
         v = self.vectors
         a = v.select(F.col("node").alias("a"), F.col("id").alias("x"), F.col("vec").alias("va"))
         b = v.select(F.col("node").alias("b"), F.col("id").alias("y"), F.col("vec").alias("vb"))
@@ -275,7 +344,7 @@ class NeighbourGraph:
         return ranked.where((F.col("rank") <= self.k) & (F.col("cosine") >= least)).groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("cosine").alias("cosine"))
 
     def neighbours(self) -> DataFrame:
-        """(id, neighbour_id, rank, similarity): the ``k`` nearest of every record, similarity to about 0.003."""
+        """(id, neighbour_id, rank, similarity): the ``k`` nearest of every record."""
         ids = self.vectors.select("node", "id").distinct()
         ranked = self.edges().withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= self.k)
         return ranked.join(ids.select(F.col("node").alias("a"), "id"), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("neighbour_id")), "b").select("id", "neighbour_id", "rank", F.round("sim", 4).alias("similarity"))

@@ -8,6 +8,7 @@ a folder of our own is made only where it is unset and the session is a local on
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ def release(table: DataFrame) -> None:
         _written[:] = [(s, p) for s, p in _written if p != path]
 
 
+def collect_garbage(table: DataFrame) -> None:
+    """Let the session drop the shuffle files of plans that nothing holds any more."""
+    gc.collect()
+    table.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -89,6 +89,25 @@ def test_p5_recall(spark, small, table_of):
     assert len({(a, b) for a, b in zip(hits.query_id, hits.id)} & near) >= 0.9 * 10 * len(asked)
 
 
+def test_p5_topic_of_close_vectors(spark):
+    from episodica.llm.nn_descent import NeighbourGraph
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6000, 64))
+    x[:2000] = x[0] / np.linalg.norm(x[0]) + rng.standard_normal((2000, 64)) * 0.143 / 8
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    y = x[:2000].astype(float)
+    c = y @ y.T
+    np.fill_diagonal(c, -2)
+    near = {(min(i, j), max(i, j)) for i, z in enumerate(np.argpartition(-c, 10, axis=1)[:, :10].tolist()) for j in z if c[i, j] >= 0.975}
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "embedding": x.tolist()}))
+    for params in ({}, {"leaf_rows": 512, "leaf_cap": 2048}):
+        graph = NeighbourGraph(df, **params)
+        found = pairs(graph.exact_pairs(0.975), "id_a", "id_b")
+        assert len(found & near) >= 0.9 * len(near)
+        assert graph.changes[-1] <= graph.delta * graph.k * len(x)
+
+
 def test_p7(spark, small, table_of):
     rows = q.p7_containers(spark, small).toPandas()
     docs = table_of("documents")
