@@ -5,8 +5,9 @@ of nodes of a scope with cosine >= ``min_cosine``, found in blocks: a scope of u
 ``bucket_rows`` nodes is one bucket, a larger one is divided by cross-polytope hashes into buckets
 of about that size, in as many tables as keep the chance of missing a link at the threshold below
 ``miss``; a bucket is compared in square blocks of ``block_rows``; (3) each block sends only its own
-minimum spanning forest under the mutual-reachability distance, so a dense block never emits its
-pairs; (4) distributed Boruvka rounds join the blocks' forests into one minimum spanning forest;
+minimum spanning forest under the mutual-reachability distance, thinned as strips of rows come in, so
+that a dense block neither emits its pairs nor holds more of them than a few strips have;
+(4) distributed Boruvka rounds join the blocks' forests into one minimum spanning forest;
 (5) the forest cut at 1 - min_cosine gives the single-linkage clusters, and condensing it gives the
 density hierarchy, from which the most stable clusters are selected.
 
@@ -32,7 +33,8 @@ from .forest import boruvka, local_forest
 from .hierarchy import condensed
 from .vectors import rows_of, unit_vectors
 
-_STRIP = 1024
+#: Rows of a strip, and links that a strip yields at once at most.
+_STRIP, _LINKS = 1024, 1 << 20
 
 
 def _similar(table: pa.Table, dim: int, cos: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -41,8 +43,9 @@ def _similar(table: pa.Table, dim: int, cos: float) -> Iterator[tuple[np.ndarray
     side = table.column("side").to_numpy()
     whole = bool((side == 2).any())
     left, right = (np.arange(len(x)),) * 2 if whole else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    for k in range(0, len(left), _STRIP):
-        at = left[k : k + _STRIP]
+    step = max(1, min(_STRIP, _LINKS // max(1, len(right))))
+    for k in range(0, len(left), step):
+        at = left[k : k + step]
         to = right[k:] if whole else right
         c = x[at] @ x[to].T
         r, q = np.nonzero(c >= cos - 1e-5)
@@ -60,6 +63,46 @@ def _similar(table: pa.Table, dim: int, cos: float) -> Iterator[tuple[np.ndarray
         yield r[ok], q[ok], near[ok]
 
 
+def _gathered(strips: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Strips joined until they have about ``_LINKS`` links."""
+    held, size = [], 0
+    for strip in strips:
+        held.append(strip)
+        size += len(strip[0])
+        if size >= _LINKS:
+            yield tuple(np.concatenate(z) for z in zip(*held))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(z) for z in zip(*held))
+
+
+def nearest(table: pa.Table, dim: int, cos: float, k: int) -> pa.Table:
+    """The ``k`` nearest other nodes of each node of a block pair; only these are held from strip to strip."""
+    node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+    u, v, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for r, q, near in _gathered(_similar(table, dim, cos)):
+        u, v, c = np.concatenate([u, r, q]), np.concatenate([v, q, r]), np.concatenate([c, near, near])
+        order = np.lexsort((node[v], -c, u))
+        u, v, c = u[order], v[order], c[order]
+        first = kernels.grouped_positions(np.bincount(u, minlength=len(node))) < k
+        u, v, c = u[first], v[first], c[first]
+    return pa.table({"node": pa.array(node[u]), "other": pa.array(node[v]), "copies": pa.array(copies[v].astype(np.int32)), "distance": pa.array((1 - c).astype(np.float32))})
+
+
+def thinned(table: pa.Table, dim: int, cos: float) -> pa.Table:
+    """The minimum spanning forest of a block pair; at most n - 1 edges are held from strip to strip."""
+    node = table.column("node").to_numpy()
+    core = table.column("core").to_numpy()
+    u, v, w = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for r, q, c in _gathered(_similar(table, dim, cos)):
+        far = np.maximum(np.maximum(core[r], core[q]), 1 - c)
+        ok = far <= 1 - cos + 2e-7
+        u, v, w = np.concatenate([u, r[ok]]), np.concatenate([v, q[ok]]), np.concatenate([w, far[ok]])
+        keep = local_forest(u, v, w, len(node), node)
+        u, v, w = u[keep], v[keep], w[keep]
+    return pa.table({"a": pa.array(node[u]), "b": pa.array(node[v]), "w": pa.array(np.maximum(w, 0).astype(np.float64))})
+
+
 class DensityClusters:
     def __init__(self, df: DataFrame, *, id_col: str = "id", vector_col: str = "embedding", scope_col: str | None = "group_id", dim: int = 64, min_cosine: float = 0.80, min_size: int = 5, min_samples: int = 1, bucket_rows: int = 32768, block_rows: int = 16384, miss: float = 0.001, seed: int = 11):
         self.dim, self.cos, self.min_size, self.min_samples = dim, min_cosine, min_size, min_samples
@@ -119,18 +162,7 @@ class DensityClusters:
         if k <= 1:
             return None
 
-        def nearest(table: pa.Table) -> pa.Table:
-            node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-            got = [(r, q, c) for r, q, c in _similar(table, dim, cos)]
-            r, q, c = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in range(3))
-            u, v, c = np.concatenate([r, q]), np.concatenate([q, r]), np.concatenate([c, c])
-            order = np.lexsort((-c, u))
-            u, v, c = u[order].astype(np.int64), v[order].astype(np.int64), c[order]
-            first = kernels.grouped_positions(np.bincount(u, minlength=len(node))) < k
-            u, v, c = u[first], v[first], c[first]
-            return pa.table({"node": pa.array(node[u]), "other": pa.array(node[v]), "copies": pa.array(copies[v].astype(np.int32)), "distance": pa.array((1 - c).astype(np.float32))})
-
-        found = self._blocks().groupBy("key").applyInArrow(nearest, "node long, other long, copies int, distance float").groupBy("node", "other").agg(F.first("copies").alias("copies"), F.min("distance").alias("distance"))
+        found = self._blocks().groupBy("key").applyInArrow(lambda t: nearest(t, dim, cos, k), "node long, other long, copies int, distance float").groupBy("node", "other").agg(F.first("copies").alias("copies"), F.min("distance").alias("distance"))
         own = self.vectors.groupBy("node").agg(F.countDistinct("id").cast("int").alias("copies")).select("node", F.col("node").alias("other"), "copies", F.lit(0.0).cast("float").alias("distance"))
         # At most min_samples neighbours a node and block pair arrive here, so the windows are short.
         seen = F.sum("copies").over(Window.partitionBy("node").orderBy("distance", "other").rowsBetween(Window.unboundedPreceding, 0))
@@ -139,21 +171,9 @@ class DensityClusters:
     def forest(self) -> tuple[DataFrame, DataFrame]:
         """The minimum spanning forest (a, b, w) under mutual reachability, and (node, comp)."""
         if self._tree is None:
-            cut, dim, cos = 1 - self.cos, self.dim, self.cos
-
-            def reduce(table: pa.Table) -> pa.Table:
-                node = table.column("node").to_numpy()
-                core = table.column("core").to_numpy()
-                us, vs, ws = [], [], []
-                for r, q, c in _similar(table, dim, cos):
-                    w = np.maximum(np.maximum(core[r], core[q]), 1 - c)
-                    ok = w <= cut + 2e-7
-                    us.append(r[ok]), vs.append(q[ok]), ws.append(w[ok])
-                u, v, w = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs, ws))
-                keep = local_forest(u, v, w, len(node), node)
-                return pa.table({"a": pa.array(node[u[keep]]), "b": pa.array(node[v[keep]]), "w": pa.array(np.maximum(w[keep], 0).astype(np.float64))})
-
-            edges = self._blocks(self.core_distances()).groupBy("key").applyInArrow(reduce, "a long, b long, w double")
+            dim, cos = self.dim, self.cos
+
+            edges = self._blocks(self.core_distances()).groupBy("key").applyInArrow(lambda t: thinned(t, dim, cos), "a long, b long, w double")
             tree, labels = boruvka(edges)
             self._tree = durable(tree, "spanning-forest"), labels
         return self._tree

@@ -77,6 +77,38 @@ def test_hierarchy_splits_where_denser_parts_are_more_stable(spark):
     assert DensityClusters(vectors(spark, rows).limit(0), min_samples=3).clusters()[1].count() == 0
 
 
+def test_dense_block_holds_few_links(spark, monkeypatch):
+    import pyarrow as pa
+
+    from episodica.llm import density
+    from episodica.llm.forest import local_forest
+
+    rng = np.random.default_rng(1)
+    n = 3000
+    x = np.zeros((n, 64)) + np.eye(64)[0] + rng.standard_normal((n, 64)) * 0.02
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype("<f4")
+    monkeypatch.setattr(density, "_LINKS", 200_000)
+    node = np.sort(rng.integers(0, 2**60, n))
+    block = pa.table({"vec": kernels.binary_column(x.ravel(), np.full(n, 64)), "side": np.full(n, 2), "node": node, "core": np.zeros(n, np.float32), "copies": np.ones(n, np.int32)})
+    whole = [np.concatenate(z) for z in zip(*density._similar(block, 64, 0.8))]
+    keep = local_forest(whole[0], whole[1], 1 - whole[2], n, node)
+    most = []
+
+    def counted(u, *rest):
+        most.append(len(u))
+        return local_forest(u, *rest)
+
+    monkeypatch.setattr(density, "local_forest", counted)
+    out = density.thinned(block, 64, 0.8)
+    assert max(most) <= 2 * 200_000 + n and len(whole[0]) > 4_000_000
+    assert sorted(zip(out["a"].to_pylist(), out["b"].to_pylist())) == sorted(zip(node[whole[0][keep]].tolist(), node[whole[1][keep]].tolist()))
+    best = density.nearest(block, 64, 0.8, 5).to_pandas()
+    c = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(c, -2)
+    assert (best.groupby("node").size() == 5).all()
+    assert np.allclose(best.groupby("node").distance.max().values, 1 - np.sort(c, axis=1)[:, -5], atol=1e-5)
+
+
 def test_cooccurrence(spark):
     rows = [("a", ["X ", "y", None, "", "x"]), ("a", ["X ", "y", None, "", "x"]), ("b", ["x", "z"]), ("c", None), ("d", []), (None, ["x", "y"]), ("e", ["y"])]
     df = spark.createDataFrame([(*r, "q", 1) for r in rows], "id string, tags array<string>, item string, salt int")
