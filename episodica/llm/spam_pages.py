@@ -18,13 +18,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import spread
-from . import kernels
 
 # Fixed list of sales words.
 SALES = frozenset(
@@ -47,8 +45,6 @@ _SPLIT = re.compile(r"(?<=[.!?])\s+|\s*[|;•·]\s*|\s{2,}\|\s*")
 _COMMA = re.compile(r"\s*,\s*")
 _PACK = re.compile(r"\b\d+[- ]?(?:pack|pcs|stück|er-pack|pièces|piezas|lot)\b", re.I)
 _BRAND = re.compile(r"\b[A-ZÀ-Þ][a-zà-þ]+(?:Pro|Max|Plus|Shop|Store|Deals|Mart|[A-Z][a-z]+)\b")
-_SALES_HASHES = np.sort(kernels.words([" ".join(sorted(w for w in SALES if w.isascii()))])[0])
-LEAST = 0.02
 
 
 def unit_shape(unit: str, words: list[str]) -> tuple:
@@ -127,19 +123,12 @@ def stuffed_pages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
             at, got = [], []
-            for k, e in kernels.chunks(texts):
-                hashes, first, last = kernels.words(texts[k:e])
-                near = np.minimum(np.searchsorted(_SALES_HASHES, hashes), len(_SALES_HASHES) - 1)
-                hit = np.concatenate([[0], np.cumsum(_SALES_HASHES[near] == hashes)])
-                loud = hit[last] - hit[first]
-                # A stuffed block has more sales words than this, so a quieter page cannot be flagged.
-                for i in np.flatnonzero(loud > LEAST * (last - first)):
-                    s = stuffed_share(texts[k + i])
-                    if s > share:
-                        at.append(k + int(i))
-                        got.append(round(s, 4))
+            for i, text in enumerate(b.column("text").to_pylist()):
+                s = stuffed_share(text)
+                if s > share:
+                    at.append(i)
+                    got.append(round(s, 4))
             if at:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(got)], names=["doc_id", "stuffed"])
 

@@ -137,6 +137,13 @@ def test_spam(spark):
     assert stuffed_share("buy lamp " * 100_000) > 0.5
 
 
+def test_spam_without_ascii_sales_words(spark):
+    brands = "\n".join(f"oak DeskMax pine LampPlus {w}" for w in ["red", "blue", "green", "grey"] * 20)
+    accents = "\n".join(f"lampe günstig envío {w}" for w in ["rot", "blau", "grau", "weiss"] * 20)
+    df = spark.createDataFrame([(1, brands), (2, accents), (3, "oak table pine lamp red\n" * 20)], "doc_id long, text string")
+    assert {r.doc_id for r in stuffed_pages(df).collect()} == {1, 2}
+
+
 def test_packing(spark):
     rows = [("a", 5000), ("b", 0), ("c", 48), ("c", 48), (None, 2000)]
     got = pack(spark.createDataFrame([(*r,) for r in rows], "id string, tokens long")).toPandas()
