@@ -238,8 +238,14 @@ def _fields(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     return spread(df.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields)])).where(F.col("id").isNotNull())
 
 
+#: Rows of the list of names that are sent to every executor; a longer list is refused, not cut.
+MOST_PARTS = 20_000
+
+
 def _shared(df: DataFrame, name_parts: DataFrame):
-    parts = [(r[0], r[1]) for r in name_parts.select("name_part", "part_kind").distinct().orderBy("name_part", "part_kind").limit(20_000).collect()]
+    parts = [(r[0], r[1]) for r in name_parts.select("name_part", "part_kind").distinct().orderBy("name_part", "part_kind").limit(MOST_PARTS + 1).collect()]
+    if len(parts) > MOST_PARTS:
+        raise ValueError(f"name_parts has more than {MOST_PARTS} rows; the list is sent to every executor")
     return df.sparkSession.sparkContext.broadcast(train(parts))
 
 

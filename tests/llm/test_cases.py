@@ -46,6 +46,14 @@ def test_personal(spark):
     assert find(df.limit(0), parts).count() == 0
 
 
+def test_personal_refuses_a_list_of_names_it_would_have_to_cut(spark):
+    parts = spark.range(20_001).selectExpr("concat('Name', id) AS name_part", "'given' AS part_kind")
+    df = spark.createDataFrame([("a", "x", "y")], "id string, content string, source_description string")
+    for f in (find, redact):
+        with pytest.raises(ValueError, match="name_parts"):
+            f(df, parts)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(*r, 5, "n") for r in rows], "id string, group_id string, embedding array<float>, node long, vec string")
 
