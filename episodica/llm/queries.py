@@ -71,13 +71,22 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from .nn_descent import NeighbourGraph
 
-    return NeighbourGraph(table(spark, d, "episodes")).exact_pairs(0.975).select("id_a", "id_b")
+    return NeighbourGraph(table(spark, d, "episodes"), least=0.975).exact_pairs(0.975).select("id_a", "id_b")
 
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     from .nn_descent import NeighbourGraph
 
-    return NeighbourGraph(table(spark, d, "episodes"), leaf_rows=2048, leaf_cap=8192, rounds=3, fan=10).neighbours()
+    return NeighbourGraph(table(spark, d, "episodes"), delta=0.01).neighbours()
+
+
+def p5_search(spark: SparkSession, d: str) -> DataFrame:
+    from .nn_descent import NeighbourGraph
+
+    episodes = table(spark, d, "episodes")
+    # The number that the last eight hexadecimal digits of the id state.
+    asked = episodes.where(F.pmod(F.conv(F.right("id", F.lit(8)), 16, 10).cast("long"), F.lit(100)) == 0)
+    return NeighbourGraph(episodes, delta=0.01).search(asked)
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:

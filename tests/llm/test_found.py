@@ -77,7 +77,7 @@ def test_p5_recall(spark, small, table_of):
     c = x @ x.T
     np.fill_diagonal(c, -2)
     near = {(e.id.values[i], e.id.values[j]) for i in range(len(x)) for j in np.argsort(-c[i])[:10]}
-    graph = NeighbourGraph(spark.read.parquet(f"{small}/episodes.parquet"), leaf_rows=64, rounds=2, fan=8)
+    graph = NeighbourGraph(spark.read.parquet(f"{small}/episodes.parquet"), cell_rows=128, cell_cap=256, rounds=2, fan=8)
     got = pairs(graph.neighbours(), "id", "neighbour_id")
     assert len(got & near) >= 0.9 * len(near)
     high = {tuple(sorted((e.id.values[i], e.id.values[j]))) for i, j in zip(*np.nonzero(c >= 0.975))}
@@ -101,8 +101,8 @@ def test_p5_topic_of_close_vectors(spark):
     np.fill_diagonal(c, -2)
     near = {(min(i, j), max(i, j)) for i, z in enumerate(np.argpartition(-c, 10, axis=1)[:, :10].tolist()) for j in z if c[i, j] >= 0.975}
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "embedding": x.tolist()}))
-    for params in ({}, {"leaf_rows": 512, "leaf_cap": 2048}):
-        graph = NeighbourGraph(df, **params)
+    for params in ({}, {"cell_rows": 512, "cell_cap": 512}):
+        graph = NeighbourGraph(df, least=0.975, **params)
         found = pairs(graph.exact_pairs(0.975), "id_a", "id_b")
         assert len(found & near) >= 0.9 * len(near)
         assert graph.changes[-1] <= graph.delta * graph.k * len(x)
