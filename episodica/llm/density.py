@@ -94,12 +94,21 @@ def thinned(table: pa.Table, dim: int, cos: float) -> pa.Table:
     node = table.column("node").to_numpy()
     core = table.column("core").to_numpy()
     u, v, w = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    for r, q, c in _gathered(_similar(table, dim, cos)):
-        far = np.maximum(np.maximum(core[r], core[q]), 1 - c)
-        ok = far <= 1 - cos + 2e-7
-        u, v, w = np.concatenate([u, r[ok]]), np.concatenate([v, q[ok]]), np.concatenate([w, far[ok]])
-        keep = local_forest(u, v, w, len(node), node)
+    comp, most = np.arange(len(node)), np.full(len(node), -1.0)
+
+    def lighter(strips: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+        for r, q, c in strips:
+            far = np.maximum(np.maximum(core[r], core[q]), 1 - c)
+            # A link inside a component is of use only if it is no heavier than the component's heaviest edge.
+            ok = (far <= 1 - cos + 2e-7) & ((comp[r] != comp[q]) | (far <= most[comp[r]]))
+            yield r[ok], q[ok], far[ok]
+
+    for r, q, far in _gathered(lighter(_similar(table, dim, cos))):
+        u, v, w = np.concatenate([u, r]), np.concatenate([v, q]), np.concatenate([w, far])
+        keep, comp = local_forest(u, v, w, len(node), node)
         u, v, w = u[keep], v[keep], w[keep]
+        most = np.full(len(node), -1.0)
+        np.maximum.at(most, comp[u], w)
     return pa.table({"a": pa.array(node[u]), "b": pa.array(node[v]), "w": pa.array(np.maximum(w, 0).astype(np.float64))})
 
 
@@ -110,6 +119,7 @@ class DensityClusters:
         vectors = unit_vectors(spread(df.select(*{id_col, vector_col, *([scope_col] if scope_col else [])})), id_col=id_col, vector_col=vector_col, scope_col=scope_col, dim=dim)
         self.vectors = durable(vectors, "unit-vectors")
         self.members = self.vectors.select("id", "node").distinct()
+        self._core: DataFrame | None = None
         self._tree: tuple[DataFrame, DataFrame] | None = None
 
     def _blocks(self, extra: DataFrame | None = None) -> DataFrame:
@@ -173,7 +183,9 @@ class DensityClusters:
         if self._tree is None:
             dim, cos = self.dim, self.cos
 
-            edges = self._blocks(self.core_distances()).groupBy("key").applyInArrow(lambda t: thinned(t, dim, cos), "a long, b long, w double")
+            core = self.core_distances()
+            self._core = durable(core, "core-distances") if core is not None else None
+            edges = self._blocks(self._core).groupBy("key").applyInArrow(lambda t: thinned(t, dim, cos), "a long, b long, w double")
             tree, labels = boruvka(edges)
             self._tree = durable(tree, "spanning-forest"), labels
         return self._tree
@@ -185,16 +197,21 @@ class DensityClusters:
         keys = placed.groupBy("comp").agg(F.min("id").alias("cluster_key"), F.count("*").alias("size")).where(F.col("size") >= self.min_size)
         return placed.join(keys, "comp").select("id", "cluster_key")
 
-    def clusters(self, levels: int = 8, exemplars: int = 3) -> tuple[DataFrame, DataFrame]:
+    def clusters(self, exemplars: int = 3, at_once: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
         """The most stable clusters of the condensed hierarchy: (id, cluster_key, persistence) of their members, and
-        (cluster_key, size, stability, exemplars) with the ids of the most persistent members."""
-        tree, _ = self.forest()
-        counts = self.vectors.groupBy("node").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("least"))
-        chosen, stability = condensed(tree, counts, 1 - self.cos, self.min_size, levels)
-        placed = durable(self.members.join(chosen, "node").select("id", "cluster", "persistence"), "cluster-members")
+        (cluster_key, size, stability, exemplars) with the ids of the most persistent members; ties go by core
+        distance, then by id."""
+        tree, labels = self.forest()
+        counts = durable(self.vectors.groupBy("node").agg(F.countDistinct("id").alias("copies")), "node-copies")
+        chosen, stability = condensed(tree, labels, counts, 1 - self.cos, self.min_size, at_once)
+        if self._core is not None:
+            chosen = chosen.join(self._core, "node", "left")
+        else:
+            chosen = chosen.withColumn("core", F.lit(0.0))
+        placed = durable(self.members.join(chosen, "node").select("id", "cluster", "persistence", "core"), "cluster-members")
         keys = placed.groupBy("cluster").agg(F.min("id").alias("cluster_key"), F.count("*").alias("size"))
         # The best few of each cluster, found by partial aggregates a cluster and part, so that no cluster meets in one task.
-        order = F.struct((-F.col("persistence")).alias("p"), "id")
+        order = F.struct((-F.col("persistence")).alias("p"), F.col("core").alias("d"), "id")
         part = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
         few = part.withColumn("r", F.row_number().over(Window.partitionBy("cluster", "part").orderBy(order))).where(F.col("r") <= exemplars)
         best = few.groupBy("cluster").agg(F.slice(F.sort_array(F.collect_list(order)), 1, exemplars).alias("z")).select("cluster", F.array_join(F.transform("z", lambda x: x["id"].cast("string")), ",").alias("exemplars"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..workspace import durable, release
 
 
-def local_forest(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, ids: np.ndarray) -> np.ndarray:
-    """Indices of the edges of a minimum spanning forest over n nodes; ties go by the nodes' ids.
+def local_forest(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the edges of a minimum spanning forest over n nodes, and each node's component; ties go by the nodes' ids.
 
     The minimum forest of a whole graph lies within the union of its blocks' forests, so a block
     sends at most n - 1 edges however dense it is.
@@ -44,7 +44,7 @@ def local_forest(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, ids: np.nd
                 break
             parent = up
         comp = parent[comp]
-    return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
+    return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64), comp
 
 
 def boruvka(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -174,7 +174,7 @@ def _merged(lists: DataFrame, keep: int) -> DataFrame:
 
 
 class NeighbourGraph:
-    def __init__(self, df: DataFrame, *, id_col: str = "id", vector_col: str = "embedding", dim: int = 64, k: int = 10, slack: int = 10, least: float | None = None, cell_rows: int = 4096, cell_cap: int = 16384, probes: int = 8, fit_rows: int = 65536, fan: int = 12, rounds: int | None = None, delta: float = 0.001, seed: int = 5):
+    def __init__(self, df: DataFrame, *, id_col: str = "id", vector_col: str = "embedding", dim: int = 64, k: int = 10, slack: int = 10, least: float | None = None, cell_rows: int = 4096, cell_cap: int = 16384, probes: int = 8, fit_rows: int = 32768, fan: int = 12, rounds: int | None = None, delta: float = 0.001, seed: int = 5):
         self.dim, self.k, self.keep, self.cell_rows, self.cell_cap, self.probes, self.fit_rows = dim, k, k + slack, cell_rows, cell_cap, probes, fit_rows
         self.fan, self.rounds, self.delta, self.seed = fan, rounds, delta, seed
         self.least, self.floor = (-2.0, -2.0) if least is None else (least, 2 * least * least - 1 if least > 0 else -2.0)

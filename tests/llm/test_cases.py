@@ -99,7 +99,7 @@ def test_dense_block_holds_few_links(spark, monkeypatch):
     node = np.sort(rng.integers(0, 2**60, n))
     block = pa.table({"vec": kernels.binary_column(x.ravel(), np.full(n, 64)), "side": np.full(n, 2), "node": node, "core": np.zeros(n, np.float32), "copies": np.ones(n, np.int32)})
     whole = [np.concatenate(z) for z in zip(*density._similar(block, 64, 0.8))]
-    keep = local_forest(whole[0], whole[1], 1 - whole[2], n, node)
+    keep, _ = local_forest(whole[0], whole[1], 1 - whole[2], n, node)
     most = []
 
     def counted(u, *rest):
