@@ -38,12 +38,15 @@ GLUE = frozenset(
     "el la los las un una y en de que es fue con por para se no su al lo del pero cuando después "
     "le les et est était dans des du une que qui pour par sur avec ne pas il elle nous après avant au aux".split()
 )
+#: Share of sales words, pack sizes, product tags and brand-like compounds below which no block is stuffed.
+QUIET = 0.03
 _LINK = re.compile(r"https?://\S+|www\.\S+|<a\s[^>]*>|\]\([^)]*\)", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?(?:ul|ol|li|p|div|br|td|tr|table|span|h\d|b|i|em|strong)[^>]*>", re.I)
 _SPLIT = re.compile(r"(?<=[.!?])\s+|\s*[|;•·]\s*|\s{2,}\|\s*")
 _COMMA = re.compile(r"\s*,\s*")
 _PACK = re.compile(r"\b\d+[- ]?(?:pack|pcs|stück|er-pack|pièces|piezas|lot)\b", re.I)
+_PRODUCT_TAG = re.compile(r"(?<![^\s,])#(?:" + "|".join(sorted(SALES)) + r")[^\W_]{3,}", re.I)
 _BRAND = re.compile(r"\b[A-ZÀ-Þ][a-zà-þ]+(?:Pro|Max|Plus|Shop|Store|Deals|Mart|[A-Z][a-z]+)\b")
 
 
@@ -68,6 +71,19 @@ def _units(text: str) -> Iterator[tuple[int, str]]:
                 yield k, p.strip()
 
 
+def _loud(text: str, tagged: int = 0) -> int:
+    """Pack sizes, brand-like compounds and product tags of a text; the tags count if they are ``tagged`` or more."""
+    tags = len(_PRODUCT_TAG.findall(text))
+    return 2 * len(_PACK.findall(text)) + len(_BRAND.findall(text)) + (tags if tags >= tagged else 0)
+
+
+def may_be_stuffed(text: str, share: float) -> bool:
+    """False only if too few of the words are of those that every stuffed block must have for more than ``share`` of them to stand in such blocks."""
+    text = _TAG.sub("\n", text)
+    words = _WORD.findall(text.lower())
+    return sum(w in SALES for w in words) + _loud(text) >= QUIET * share * len(words)
+
+
 def stuffed_share(text: str) -> float:
     """The share of the text's words that stand in stuffed blocks."""
     units = [(k, u, [w.lower() for w in _WORD.findall(u)]) for k, u in _units(text)]
@@ -83,7 +99,7 @@ def stuffed_share(text: str) -> float:
         glue = sum(w in GLUE for w in ws)
         link = sum(len(_WORD.findall(m.group())) for m in _LINK.finditer(u))
         sales = sum(w in SALES for w in ws)
-        brand = 2 * len(_PACK.findall(u)) + len(_BRAND.findall(u))
+        brand = _loud(u, (u.count("#") + 1) // 2)
         again = sum(counts[w] >= 3 and w not in GLUE for w in ws)
         echo = sum(2 for z in zip(ws, ws[1:]) if pairs.get(z, 0) >= 3)
         closed = u[-1:] in ".!?" or u[-2:-1] in ".!?"
@@ -105,7 +121,7 @@ def stuffed_share(text: str) -> float:
             few = sum(c for _, c in shapes.most_common(6)) / n
             loud = (sales + brand) / n
             # Few shapes dominate a stuffed block; plain word lists need repetition besides sales words.
-            if few >= 0.5 and glue / n < 0.25 and (loud >= 0.16 or loud >= 0.06 and (again + link) / n >= 0.3 or brand / n >= 0.1):
+            if few >= 0.5 and glue / n < 0.25 and (loud >= 0.16 or loud >= 0.06 and (again + link) / n >= 0.3 or loud >= QUIET and min(again, echo) / n >= 0.6 or brand / n >= 0.1):
                 taken += n
         else:
             # Sentences are judged one by one: empty phrases repeat their keyword and sales words.
@@ -125,7 +141,7 @@ def stuffed_pages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             at, got = [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                s = stuffed_share(text)
+                s = stuffed_share(text) if may_be_stuffed(text, share) else 0.0
                 if s > share:
                     at.append(i)
                     got.append(round(s, 4))

@@ -152,6 +152,24 @@ def test_spam_without_ascii_sales_words(spark):
     assert {r.doc_id for r in stuffed_pages(df).collect()} == {1, 2}
 
 
+def test_spam_of_product_tags_and_places(spark):
+    tags = " ".join(f"#{a}{b}" for a in ("buy", "cheap", "best", "rabatt") for b in ("desklamp", "phonecase", "storagebox", "cabletidy"))
+    places = " | ".join(f"{w}desk lamp {p}" for p in ["Eastfold", "Northmere", "Bay"] * 10 for w in (["", "", "best in "] if p == "Bay" else [""]))
+    topics = " ".join(f"#{a}" for a in "memory agents recall notes episodes newsletter topics saleable".split() * 4)
+    table = " | ".join(f"desk lamp {p}" for p in ["Eastfold", "Northmere", "Bay"] * 10)
+    df = spark.createDataFrame([(1, tags), (2, places), (3, topics), (4, table)], "doc_id long, text string")
+    assert {r.doc_id for r in stuffed_pages(df).collect()} == {1, 2}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("buy cheap the note was kept . \n | , #buylamp LampPro https://a.example/b 10-pack lamp desk in of günstig".split(" ")), max_size=60))
+def test_no_stuffed_page_is_skipped(parts):
+    from episodica.llm.spam_pages import may_be_stuffed
+
+    text = " ".join(parts)
+    assert may_be_stuffed(text, 0.5) or stuffed_share(text) <= 0.5
+
+
 def test_packing(spark):
     rows = [("a", 5000), ("b", 0), ("c", 48), ("c", 48), (None, 2000)]
     got = pack(spark.createDataFrame([(*r,) for r in rows], "id string, tokens long")).toPandas()
