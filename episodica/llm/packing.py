@@ -4,8 +4,9 @@ The items' lengths are counted into a histogram of at most ``capacity`` cells. O
 covering program over configurations (multisets of lengths that fit) is solved by multiplicative
 weights: prices fall with the coverage a length has already got, a knapsack dynamic program finds
 the best configuration for the prices, and the mean of the configurations found is a fractional
-solution. It is rounded down to whole containers; what is left is filled greedily from the
-histogram, largest length first. All of that works on at most ``capacity`` numbers whatever the data.
+solution. It is rounded down to whole containers; what is left is filled from the histogram, largest
+length first, and where that leaves room by a subset-sum dynamic program over the lengths left. All of
+that works on at most ``capacity`` numbers whatever the data.
 Items then find their container by their rank among the items of the same length: ranks come from
 per-task counts and prefix sums, so no length is ever gathered in one task.
 
@@ -101,6 +102,27 @@ def _weights(wanted: np.ndarray, capacity: int, rounds: int, rate: float) -> dic
     return {c: x / max(mean, 1e-9) for c, x in found.items()}
 
 
+def _fullest(left: np.ndarray, room: int) -> dict[int, int]:
+    """{length: count} out of ``left`` that fills most of ``room``, with the large lengths preferred."""
+    reach, steps = 1, []
+    mask = (1 << (room + 1)) - 1
+    for s in (np.flatnonzero(left[:room] > 0)[::-1] + 1).tolist():
+        steps.append((s, reach))
+        n, k = min(int(left[s - 1]), room // s), 1
+        while n > 0:
+            m = min(k, n)
+            reach |= (reach << (m * s)) & mask
+            n, k = n - m, 2 * k
+        if reach >> room & 1:
+            break
+    at, out = reach.bit_length() - 1, {}
+    for s, before in reversed(steps):
+        while not before >> at & 1:
+            at -= s
+            out[s] = out.get(s, 0) + 1
+    return out
+
+
 def _rounded(histogram: np.ndarray, capacity: int, found: dict[bytes, float], depth: float) -> list[tuple[np.ndarray, int]]:
     """Whole containers from ``depth`` times the fractional solution; what is left goes largest first."""
     left = histogram.astype(np.int64).copy()
@@ -127,6 +149,12 @@ def _rounded(histogram: np.ndarray, capacity: int, found: dict[bytes, float], de
                 break
             config[fits[-1]] += 1
             room -= int(fits[-1]) + 1
+        if room and room < capacity and left.sum() > config.sum():
+            first = int(np.flatnonzero(config)[-1])
+            config = np.zeros(capacity, np.int64)
+            config[first] = 1
+            for s, n in _fullest(left - config, capacity - first - 1).items():
+                config[s - 1] += n
         take(config, int(left.max()))
     return plan
 
