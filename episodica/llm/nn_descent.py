@@ -448,12 +448,13 @@ class NeighbourGraph:
         ranked = self.edges().withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= self.k)
         return ranked.join(ids.select(F.col("node").alias("a"), "id"), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("neighbour_id")), "b").select("id", "neighbour_id", "rank", F.round("sim", 4).alias("similarity"))
 
-    def search(self, queries: DataFrame, *, id_col: str = "id", vector_col: str = "embedding", k: int = 10, beam: int = 40, starts: int = 8, steps: int = 8) -> DataFrame:
+    def search(self, queries: DataFrame, *, id_col: str = "id", vector_col: str = "embedding", k: int = 10, beam: int = 80, starts: int = 10, cells_asked: int = 12, every: int = 16, steps: int = 8) -> DataFrame:
         """(query_id, id, similarity): greedy search of the graph for other vectors, all queries side by side.
 
-        Each query starts at the most central rows of its ``starts`` nearest cells. Each step joins the
-        open entries of every query's beam to the graph, scores their neighbours and keeps the best
-        ``beam``; it ends when no beam changes or after ``steps``.
+        One row in ``every`` is an entry to the graph, as neighbour lists do not lead from topic to topic.
+        Each query starts at the ``starts`` best entries of each of its ``cells_asked`` nearest cells. Each
+        step joins the open entries of every query's beam to the graph, scores their neighbours and keeps
+        the best ``beam``; it ends when no beam changes or after ``steps``.
         """
         dim, cells = self.dim, self.cells()
         q = unit_vectors(queries, id_col=id_col, vector_col=vector_col, scope_col=None, dim=dim).select(F.col("id").alias("query_id"), F.col("vec").alias("qv")).dropDuplicates(["query_id"])
@@ -462,18 +463,28 @@ class NeighbourGraph:
         graph = self.edges().select(F.col("a").alias("node"), F.col("b").alias("next"))
         beam_w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "node")
 
-        def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    x = rows_of(b.column("vec"), "<f4", dim)
-                    cell = cells.value.nearest(x, 1)[:, 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), b.column("node"), pa.array((x * cells.value.centres[cell]).sum(axis=1))], names=["cell", "node", "sim"])
+                    cell = cells.value.nearest(rows_of(b.column("vec"), "<f4", dim), 1)[:, 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), b.column("node"), b.column("vec")], names=["cell", "node", "vec"])
 
-        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    near = cells.value.nearest(rows_of(b.column("qv"), "<f4", dim), starts)
-                    yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(np.repeat(np.arange(len(near)), near.shape[1]))), pa.array(near.ravel())], names=["query_id", "cell"])
+                    near = cells.value.nearest(rows_of(b.column("qv"), "<f4", dim), cells_asked)
+                    row = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), b.column("query_id").take(row), b.column("qv").take(row)], names=["cell", "query_id", "qv"])
+
+        def begin(asks: pa.Table, entries: pa.Table) -> pa.Table:
+            p, x, n = rows_of(asks.column("qv"), "<f4", dim), rows_of(entries.column("vec"), "<f4", dim), min(starts, entries.num_rows)
+            rows, to = [], []
+            for k in range(0, len(p) if n else 0, 1024):
+                c = p[k : k + 1024] @ x.T
+                to.append(np.argpartition(c, len(x) - n, axis=1)[:, len(x) - n :].ravel())
+                rows.append(np.repeat(np.arange(k, k + len(c)), n))
+            rows, to = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (rows, to))
+            return pa.table({"query_id": asks.column("query_id").take(pa.array(rows)), "node": entries.column("node").take(pa.array(to))})
 
         def scored(pairs: DataFrame) -> DataFrame:
             def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,10 +496,11 @@ class NeighbourGraph:
             full = pairs.join(q, "query_id").join(self.vectors.select("node", "vec"), "node").select("query_id", "node", "qv", "vec")
             return full.mapInArrow(score, f"query_id {kind}, node long, sim float").dropDuplicates(["query_id", "node"])
 
-        central = self.vectors.select("node", "vec").mapInArrow(homes, "cell long, node long, sim float").groupBy("cell").agg(F.max_by("node", F.struct("sim", "node")).alias("node"))
-        # One row a cell, of which there are at most fit_rows / 16.
-        begin = q.mapInArrow(entries, f"query_id {kind}, cell long").join(F.broadcast(central), "cell").select("query_id", "node")
-        state = scored(begin).withColumn("open", F.lit(True))
+        every = max(1, min(every, self.vectors.count() // 1024))
+        entries = self.vectors.where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(every)) == 0).select("node", "vec").mapInArrow(placed, "cell long, node long, vec binary")
+        asks = q.mapInArrow(asked, f"cell long, query_id {kind}, qv binary")
+        first = asks.groupBy("cell").cogroup(entries.groupBy("cell")).applyInArrow(lambda a, e: begin(a, e), f"query_id {kind}, node long")
+        state = scored(first.distinct()).withColumn("open", F.lit(True))
         for _ in range(steps):
             state = durable(state.withColumn("r", F.row_number().over(beam_w)).where(F.col("r") <= beam).drop("r"), "search-beam")
             if state.where("open").isEmpty():
