@@ -11,7 +11,7 @@ from __future__ import annotations
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +24,11 @@ _LOG = T.StructType([*EPISODES.fields, T.StructField("_version", T.LongType()),
 
 
 def fold(log: DataFrame) -> DataFrame:
-    """The current episodes of a log: one shuffle by id, aggregates only."""
-    gone = F.max(F.when(F.col("_op") == "delete", F.col("_version"))).over(Window.partitionBy("id"))
-    rows = log.withColumn("_gone", F.coalesce(gone, F.lit(-1))).where(F.col("_version") > F.col("_gone"))
+    """The current episodes of a log: one shuffle by id, partial aggregates only, so an id with very many updates is reduced before it.
+
+    An update counts only after the last put, and that put only after the last delete.
+    """
+    gone = F.max(F.when(F.col("_op") == "delete", F.col("_version"))).alias("_gone")
     put = F.when(F.col("_op") == "put", F.struct(*EPISODES.fieldNames()))
     at = F.when(F.col("_op") == "put", F.col("_version"))
     last_put = F.max_by(put, at).alias("_put")
@@ -35,7 +37,7 @@ def fold(log: DataFrame) -> DataFrame:
         given = (F.col("_op") == "update") & F.array_contains("_set", c)
         # The version is kept beside the value, so that null values and values before the last put are told apart.
         changes.append(F.max_by(F.when(given, F.struct(F.col("_version").alias("v"), F.col(c).alias("x"))), F.when(given, F.col("_version"))).alias(f"_new_{c}"))
-    state = rows.groupBy("id").agg(last_put, F.max(at).alias("_at"), *changes).where("_put is not null")
+    state = log.groupBy("id").agg(last_put, F.max(at).alias("_at"), gone, *changes).where("_put is not null and (_gone is null or _at > _gone)")
     cols = []
     for name in EPISODES.fieldNames():
         value = F.col(f"_put.{name}")

@@ -55,6 +55,12 @@ def test_update_delete_compact(store, spark):
     assert [r["id"] for r in store.episodes().collect()] == ["a"] and store.get("a")["tags"] == ["y"]
     store.append(spark.createDataFrame([("b", "again", "test")], "id string, content string, source string"), NOW)
     assert store.get("b")["content"] == "again"
+    store.update("b", UpdateParams(tags=["z"]))
+    store.delete("b")
+    with pytest.raises(KeyError):
+        store.get("b")
+    store.append(spark.createDataFrame([("b", "again", "test")], "id string, content string, source string"), NOW)
+    assert store.get("b")["tags"] is None
     again = EpisodeStore(spark, store.path)
     assert again.version == store.version and again.episodes().count() == 2
 
