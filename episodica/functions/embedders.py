@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import urllib.request
+from dataclasses import dataclass
 from typing import Protocol
 
 
@@ -48,3 +50,25 @@ class HttpEmbedder:
         if not body.get("data"):
             raise ValueError("the endpoint returned no vector")
         return [float(x) for x in body["data"][0]["embedding"]]
+
+
+@dataclass(frozen=True)
+class Health:
+    """What the last probe of an embedder saw: ``unknown`` before the first, then ``ok`` or ``degraded``."""
+
+    state: str = "unknown"
+    latency: float = 0.0
+    failures: int = 0
+    error: str = ""
+
+
+def probed(embedder: Embedder, dim: int, before: Health = Health()) -> Health:
+    """One probe; failures in a row, wrong lengths among them, are counted until a probe succeeds."""
+    began = time.monotonic()
+    try:
+        n = len(embedder.generate("probe"))
+        error = "" if n == dim else f"length {n}, wanted {dim}"
+    except Exception as e:  # noqa: BLE001 - any failure is a degraded endpoint
+        error = str(e) or type(e).__name__
+    spent = time.monotonic() - began
+    return Health("degraded", spent, before.failures + 1, error) if error else Health("ok", spent)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
-from dataclasses import dataclass
-from datetime import datetime
+from dataclasses import dataclass, replace
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +24,10 @@ class ReembedStatus:
     done: int = 0
     failed: int = 0
     error: str = ""
+    force: bool = False
+    running: bool = False
+    started: datetime | None = None
+    finished: datetime | None = None
 
 
 def targets(episodes: DataFrame, model: str, as_of: datetime, force: bool = False) -> DataFrame:
@@ -60,7 +65,47 @@ def reembed(store: EpisodeStore, embedder: Embedder, dim: int, as_of: datetime,
         raise ValueError(f"the model gives vectors of length {len(probe)}, the store holds {dim}")
     got = durable(embedded(targets(store.episodes(), embedder.model, as_of, force), embedder, dim), "embedded")
     counts = got.agg(F.count("*").alias("total"), F.count("embedding").alias("done")).first()
-    status = ReembedStatus(embedder.model, counts["total"], counts["done"], counts["total"] - counts["done"])
+    status = ReembedStatus(embedder.model, counts["total"], counts["done"], counts["total"] - counts["done"], force=force)
     if status.done:
         store.update_many(got.where("embedding is not null").select("id", "embedding", F.lit(embedder.model).alias("embedding_model")), ["embedding", "embedding_model"])
     return status
+
+
+class ReembedJob:
+    """One re-embedding at a time beside other work; a second start while one runs is refused."""
+
+    def __init__(self, store: EpisodeStore, embedder: Embedder, dim: int):
+        self.store, self.embedder, self.dim = store, embedder, dim
+        self._state = ReembedStatus(embedder.model)
+        self._lock = threading.Lock()
+        self._thread: threading.Thread | None = None
+
+    def status(self) -> ReembedStatus:
+        with self._lock:
+            return replace(self._state)
+
+    def start(self, as_of: datetime, force: bool = False) -> ReembedStatus:
+        """Probe the model, then start; RuntimeError if a job runs, ValueError if the model's vectors have another length."""
+        probe = len(self.embedder.generate("probe"))
+        if probe != self.dim:
+            raise ValueError(f"the model gives vectors of length {probe}, the store holds {self.dim}")
+        with self._lock:
+            if self._state.running:
+                raise RuntimeError("a re-embedding job is running")
+            self._state = ReembedStatus(self.embedder.model, force=force, running=True, started=datetime.now(UTC))
+            self._thread = threading.Thread(target=self._run, args=(as_of, force), daemon=True)
+            self._thread.start()
+            return replace(self._state)
+
+    def wait(self, timeout: float | None = None) -> ReembedStatus:
+        if self._thread is not None:
+            self._thread.join(timeout)
+        return self.status()
+
+    def _run(self, as_of: datetime, force: bool) -> None:
+        try:
+            end = reembed(self.store, self.embedder, self.dim, as_of, force)
+        except Exception as e:  # noqa: BLE001 - reported in the status
+            end = ReembedStatus(self.embedder.model, force=force, error=str(e) or type(e).__name__)
+        with self._lock:
+            self._state = replace(end, started=self._state.started, finished=datetime.now(UTC))
