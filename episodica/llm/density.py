@@ -155,13 +155,21 @@ class DensityClusters:
                             turn = np.linalg.qr(np.random.default_rng([seed, t, j]).standard_normal((dim, dim)))[0]
                             key = kernels.mix(key ^ top(x[at] @ turn.astype(np.float32)).astype(np.uint64))
                         take = pa.array(at)
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))] + [c.take(take) for c in rest], names=["bucket", "node", "copies", "core", "vec"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(at), t, np.int32))] + [c.take(take) for c in rest], names=["bucket", "t", "node", "copies", "core", "vec"])
 
-        placed = nodes.join(sizes, "s").mapInArrow(hashed, "bucket long, node long, copies int, core float, vec binary")
+        placed = nodes.join(sizes, "s").mapInArrow(hashed, "bucket long, t int, node long, copies int, core float, vec binary")
         placed = durable(placed, "placed-vectors")
-        filled = placed.groupBy("bucket").agg(F.ceil(F.count("*") / self.block_rows).cast("int").alias("blocks"))
-        blocked = placed.join(filled, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        pairs = blocked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # Nodes of a large bucket of the first table have all met there; in the other tables they meet only nodes from elsewhere.
+        large = placed.where("t = 0").groupBy("bucket").count().where(F.col("count") > self.block_rows).select("bucket")
+        met = placed.where("t = 0").join(large, "bucket").select("node", F.col("bucket").alias("met"))
+        again = placed.where("t > 0").join(met, "node", "left").withColumn("met", F.coalesce("met", F.lit(0)))
+        placed = placed.where("t = 0").withColumn("met", F.lit(0).cast("long")).unionByName(again)
+        filled = placed.groupBy("bucket", "met").agg(F.ceil(F.count("*") / self.block_rows).cast("int").alias("own"))
+        bucket = Window.partitionBy("bucket")
+        filled = filled.withColumn("first", (F.sum("own").over(bucket.orderBy("met")) - F.col("own")).cast("int")).withColumn("blocks", F.sum("own").over(bucket).cast("int"))
+        blocked = placed.join(filled, ["bucket", "met"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("own"))).cast("int"))
+        others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda z: (F.col("met") == 0) | (z < F.col("first")) | (z >= F.col("first") + F.col("own")))
+        pairs = blocked.withColumn("with", F.explode(others))
         key = F.xxhash64("bucket", F.least("block", "with"), F.greatest("block", "with"))
         side = F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1)
         return pairs.select(key.alias("key"), side.cast("int").alias("side"), "node", "copies", "core", "vec")

@@ -85,6 +85,18 @@ def test_hierarchy_splits_where_denser_parts_are_more_stable(spark):
     assert DensityClusters(vectors(spark, rows).limit(0), min_samples=3).clusters()[1].count() == 0
 
 
+def test_large_scope_with_a_dense_topic(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((500, 64))
+    for first, n, spread in ((0, 200, 0.02), (200, 60, 0.06), (260, 40, 0.07)):
+        x[first : first + n] = x[first] / np.linalg.norm(x[first]) + rng.standard_normal((n, 64)) * spread
+    rows = [(f"r{i:03}", "g", v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    whole, parts = (DensityClusters(vectors(spark, rows), min_samples=3, **p) for p in ({}, {"bucket_rows": 48, "block_rows": 12, "miss": 1e-5}))
+    assert sorted(map(tuple, whole.linked().collect())) == sorted(map(tuple, parts.linked().collect()))
+    one, two = ({r.id: (r.cluster_key, pytest.approx(r.persistence, rel=1e-3)) for r in z.clusters()[0].collect()} for z in (whole, parts))
+    assert one.keys() == two.keys() and all(one[k][0] == two[k][0] and one[k][1].expected == two[k][1] for k in one)
+
+
 def test_dense_block_holds_few_links(spark, monkeypatch):
     import pyarrow as pa
 
