@@ -20,7 +20,7 @@ that repeat an id are one record; ties go by node; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,9 @@ from .vectors import rows_of, unit_vectors
 _STRIP, _LINKS = 1024, 1 << 20
 
 
-def _similar(table: pa.Table, dim: int, cos: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index pairs (row, column, cosine) of a block pair, strip by strip; each pair once."""
+def _similar(table: pa.Table, dim: int, cos: float, least: Callable[[np.ndarray, np.ndarray], np.ndarray | float] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs (row, column, cosine) of a block pair, strip by strip; each pair once. ``least`` gives the cosine,
+    from ``cos`` on, below which pairs of the given rows and columns are of no use any more."""
     x = rows_of(table.column("vec"), "<f4", dim)
     side = table.column("side").to_numpy()
     whole = bool((side == 2).any())
@@ -48,7 +49,8 @@ def _similar(table: pa.Table, dim: int, cos: float) -> Iterator[tuple[np.ndarray
         at = left[k : k + step]
         to = right[k:] if whole else right
         c = x[at] @ x[to].T
-        r, q = np.nonzero(c >= cos - 1e-5)
+        low = cos if least is None else least(at, to)
+        r, q = np.nonzero(c >= low - np.float32(1e-5))
         near = c[r, q].astype(np.float64)
         r, q = at[r], to[q]
         if whole:
@@ -80,12 +82,19 @@ def nearest(table: pa.Table, dim: int, cos: float, k: int) -> pa.Table:
     """The ``k`` nearest other nodes of each node of a block pair; only these are held from strip to strip."""
     node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
     u, v, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    for r, q, near in _gathered(_similar(table, dim, cos)):
+    low = np.full(len(node), cos, np.float32)
+
+    def least(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        # Of use to one of the two, whose k-th nearest so far is farther.
+        return np.minimum(low[at][:, None], low[to][None, :])
+
+    for r, q, near in _gathered(_similar(table, dim, cos, least)):
         u, v, c = np.concatenate([u, r, q]), np.concatenate([v, q, r]), np.concatenate([c, near, near])
         order = np.lexsort((node[v], -c, u))
         u, v, c = u[order], v[order], c[order]
-        first = kernels.grouped_positions(np.bincount(u, minlength=len(node))) < k
-        u, v, c = u[first], v[first], c[first]
+        at = kernels.grouped_positions(np.bincount(u, minlength=len(node)))
+        low[u[at == k - 1]] = c[at == k - 1]
+        u, v, c = u[at < k], v[at < k], c[at < k]
     return pa.table({"node": pa.array(node[u]), "other": pa.array(node[v]), "copies": pa.array(copies[v].astype(np.int32)), "distance": pa.array((1 - c).astype(np.float32))})
 
 
@@ -95,6 +104,12 @@ def thinned(table: pa.Table, dim: int, cos: float) -> pa.Table:
     core = table.column("core").to_numpy()
     u, v, w = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     comp, most = np.arange(len(node)), np.full(len(node), -1.0)
+    main, light = np.zeros(len(node), bool), cos
+
+    def least(at: np.ndarray, to: np.ndarray) -> np.ndarray | float:
+        # Within the largest component only links no heavier than its heaviest edge are of use.
+        one, two = main[at], main[to]
+        return np.where(one[:, None] & two[None, :], np.float32(light), np.float32(cos)) if light > cos and one.any() and two.any() else cos
 
     def lighter(strips: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
         for r, q, c in strips:
@@ -103,12 +118,14 @@ def thinned(table: pa.Table, dim: int, cos: float) -> pa.Table:
             ok = (far <= 1 - cos + 2e-7) & ((comp[r] != comp[q]) | (far <= most[comp[r]]))
             yield r[ok], q[ok], far[ok]
 
-    for r, q, far in _gathered(lighter(_similar(table, dim, cos))):
+    for r, q, far in _gathered(lighter(_similar(table, dim, cos, least))):
         u, v, w = np.concatenate([u, r]), np.concatenate([v, q]), np.concatenate([w, far])
         keep, comp = local_forest(u, v, w, len(node), node)
         u, v, w = u[keep], v[keep], w[keep]
         most = np.full(len(node), -1.0)
         np.maximum.at(most, comp[u], w)
+        largest = int(np.bincount(comp).argmax())
+        main, light = comp == largest, 1 - float(most[largest])
     return pa.table({"a": pa.array(node[u]), "b": pa.array(node[v]), "w": pa.array(np.maximum(w, 0).astype(np.float64))})
 
 
