@@ -4,7 +4,8 @@ Stages: (1) equal vectors of a scope are one node with a count; (2) a neighbour
 of nodes of a scope with cosine >= ``min_cosine``, found in blocks: a scope of up to
 ``bucket_rows`` nodes is one bucket, a larger one is divided by cross-polytope hashes into buckets
 of about that size, in as many tables as keep the chance of missing a link at the threshold below
-``miss``; a bucket is compared in square blocks of ``block_rows``; (3) each block sends only its own
+``miss``; a bucket is compared in square blocks of ``block_rows``, and the tables and block pairs are worked
+off in waves, so that no more than about two copies of the vectors are on their way at once; (3) each block sends only its own
 minimum spanning forest under the mutual-reachability distance, thinned as strips of rows come in, so
 that a dense block neither emits its pairs nor holds more of them than a few strips have;
 (4) distributed Boruvka rounds join the blocks' forests into one minimum spanning forest;
@@ -19,43 +20,56 @@ that repeat an id are one record; ties go by node; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..workspace import durable, spread
+from ..workspace import collect_garbage, durable, release, spread
 from . import kernels
 from .forest import boruvka, local_forest
 from .hierarchy import condensed
+from .layout import PACKED, Layout, unpacked
 from .vectors import rows_of, unit_vectors
 
 #: Rows of a strip, and links that a strip yields at once at most.
 _STRIP, _LINKS = 1024, 1 << 20
+#: Rows that a wave may always have, so that small tables take few waves.
+_WAVE_ROWS = 200_000
 
 
 def _similar(table: pa.Table, dim: int, cos: float, least: Callable[[np.ndarray, np.ndarray], np.ndarray | float] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index pairs (row, column, cosine) of a block pair, strip by strip; each pair once. ``least`` gives the cosine,
-    from ``cos`` on, below which pairs of the given rows and columns are of no use any more."""
+    from ``cos`` on, below which pairs of the given rows and columns are of no use any more. Within a block, nodes with
+    the same ``met`` other than 0 are not compared."""
     x = rows_of(table.column("vec"), "<f4", dim)
     side = table.column("side").to_numpy()
     whole = bool((side == 2).any())
-    left, right = (np.arange(len(x)),) * 2 if whole else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    if whole:
+        met = table.column("met").to_numpy() if "met" in table.column_names else np.zeros(len(x), np.int64)
+        left = right = np.argsort(met, kind="stable")
+        begin = np.flatnonzero(np.diff(met[left], prepend=met[left[0]] - 1)).tolist()
+        parts = [(i, j, met[left[i]] == 0) for i, j in zip(begin, [*begin[1:], len(x)])]
+    else:
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        parts = [(0, len(left), False)]
     step = max(1, min(_STRIP, _LINKS // max(1, len(right))))
-    for k in range(0, len(left), step):
-        at = left[k : k + step]
-        to = right[k:] if whole else right
+    for k, stop, inside in ((k, j, inside) for i, j, inside in parts for k in range(i, j, step)):
+        at = left[k : min(k + step, stop)]
+        past = (k if inside else stop) if whole else 0
+        to = right[past:]
         c = x[at] @ x[to].T
         low = cos if least is None else least(at, to)
-        r, q = np.nonzero(c >= low - np.float32(1e-5))
-        near = c[r, q].astype(np.float64)
-        r, q = at[r], to[q]
-        if whole:
+        hit = np.flatnonzero(c >= low - np.float32(1e-5))
+        r, q = np.divmod(hit, max(1, len(to)))
+        near = c.ravel()[hit].astype(np.float64)
+        if inside:
             up = r < q
             r, q, near = r[up], q[up], near[up]
+        r, q = at[r], to[q]
         edge = np.flatnonzero(near < cos + 1e-5)
         if len(edge):
             p, o = x[r[edge]].astype(np.float64), x[q[edge]].astype(np.float64)
@@ -134,62 +148,45 @@ class DensityClusters:
         self.dim, self.cos, self.min_size, self.min_samples = dim, min_cosine, min_size, min_samples
         self.bucket_rows, self.block_rows, self.miss, self.seed = bucket_rows, block_rows, miss, seed
         vectors = unit_vectors(spread(df.select(*{id_col, vector_col, *([scope_col] if scope_col else [])})), id_col=id_col, vector_col=vector_col, scope_col=scope_col, dim=dim)
-        self.vectors = durable(vectors, "unit-vectors")
-        self.members = self.vectors.select("id", "node").distinct()
+        vectors = durable(vectors, "unit-vectors")
+        self.members = durable(vectors.select("id", "node").distinct(), "members")
+        folded = vectors.groupBy(F.xxhash64("scope").alias("s"), "node").agg(F.first("vec").alias("vec"), F.countDistinct("id").cast("int").alias("copies"))
+        self.nodes = durable(folded.select("s", "node", "copies", F.lit(0.0).cast("float").alias("core"), "vec"), "nodes")
+        del folded
+        release(vectors)
+        collect_garbage(self.nodes)
         self._core: DataFrame | None = None
         self._tree: tuple[DataFrame, DataFrame] | None = None
-
-    def _blocks(self, extra: DataFrame | None = None) -> DataFrame:
-        """(key, side, node, copies, core, vec): nodes laid out in pairs of blocks of bounded size."""
-        folded = self.vectors.groupBy("scope", "node").agg(F.first("vec").alias("vec"), F.countDistinct("id").alias("copies"))
-        folded = folded.join(extra, "node") if extra is not None else folded.withColumn("core", F.lit(0.0).cast("float"))
-        nodes = folded.select(F.xxhash64("scope").alias("s"), "node", F.col("copies").cast("int").alias("copies"), "core", "vec")
-        sizes = self.vectors.groupBy(F.xxhash64("scope").alias("s")).agg(F.count("*").alias("rows"))
-        dim, target, miss, cos, seed = self.dim, self.bucket_rows, self.miss, self.cos, self.seed
-        rng = np.random.default_rng(seed)
-        # Chance that one cross-polytope hash keeps a pair at the threshold together, measured on such pairs.
-        a = rng.standard_normal((4000, dim))
-        a /= np.linalg.norm(a, axis=1, keepdims=True)
-        b = rng.standard_normal((4000, dim))
-        b -= (b * a).sum(axis=1, keepdims=True) * a
-        b = cos * a + math.sqrt(1 - cos * cos) * b / np.linalg.norm(b, axis=1, keepdims=True)
-        top = lambda x: np.abs(x).argmax(axis=1) * 2 + (x[np.arange(len(x)), np.abs(x).argmax(axis=1)] > 0)
-        alike = float((top(a) == top(b)).mean())
-
-        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = rows_of(batch.column("vec"), "<f4", dim)
-                rows = batch.column("rows").to_numpy()
-                digits = np.ceil(np.maximum(0, np.log(np.maximum(rows / target, 1e-9))) / np.log(2 * dim)).astype(int)
-                s = batch.column("s").to_numpy().view(np.uint64)
-                rest = [batch.column(c) for c in ("node", "copies", "core", "vec")]
-                for d in np.unique(digits):
-                    at = np.flatnonzero(digits == d)
-                    tables = 1 if d == 0 else math.ceil(math.log(miss) / math.log(1 - alike**d))
-                    for t in range(tables):
-                        key = kernels.mix(s[at] + np.uint64(t))
-                        for j in range(d):
-                            turn = np.linalg.qr(np.random.default_rng([seed, t, j]).standard_normal((dim, dim)))[0]
-                            key = kernels.mix(key ^ top(x[at] @ turn.astype(np.float32)).astype(np.uint64))
-                        take = pa.array(at)
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(at), t, np.int32))] + [c.take(take) for c in rest], names=["bucket", "t", "node", "copies", "core", "vec"])
-
-        placed = nodes.join(sizes, "s").mapInArrow(hashed, "bucket long, t int, node long, copies int, core float, vec binary")
-        placed = durable(placed, "placed-vectors")
-        # Nodes of a large bucket of the first table have all met there; in the other tables they meet only nodes from elsewhere.
-        large = placed.where("t = 0").groupBy("bucket").count().where(F.col("count") > self.block_rows).select("bucket")
-        met = placed.where("t = 0").join(large, "bucket").select("node", F.col("bucket").alias("met"))
-        again = placed.where("t > 0").join(met, "node", "left").withColumn("met", F.coalesce("met", F.lit(0)))
-        placed = placed.where("t = 0").withColumn("met", F.lit(0).cast("long")).unionByName(again)
-        filled = placed.groupBy("bucket", "met").agg(F.ceil(F.count("*") / self.block_rows).cast("int").alias("own"))
-        bucket = Window.partitionBy("bucket")
-        filled = filled.withColumn("first", (F.sum("own").over(bucket.orderBy("met")) - F.col("own")).cast("int")).withColumn("blocks", F.sum("own").over(bucket).cast("int"))
-        blocked = placed.join(filled, ["bucket", "met"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("own"))).cast("int"))
-        others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda z: (F.col("met") == 0) | (z < F.col("first")) | (z >= F.col("first") + F.col("own")))
-        pairs = blocked.withColumn("with", F.explode(others))
-        key = F.xxhash64("bucket", F.least("block", "with"), F.greatest("block", "with"))
-        side = F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1)
-        return pairs.select(key.alias("key"), side.cast("int").alias("side"), "node", "copies", "core", "vec")
+        self._layout: Layout | None = None
+
+    def layout(self) -> Layout:
+        if self._layout is None:
+            sizes = self.nodes.groupBy("s").count()
+            # At most one scope for each block_rows nodes.
+            scopes = {r.s: r["count"] for r in sizes.where(F.col("count") > self.block_rows).collect()}
+            rows = self.nodes.count()
+            plan = Layout(scopes, rows, dim=self.dim, cos=self.cos, bucket_rows=self.bucket_rows, block_rows=self.block_rows, miss=self.miss, seed=self.seed)
+            for tables in ([0], list(range(1, plan.tables))):
+                if not scopes or not tables:
+                    continue
+                found = self.nodes.select("s", "vec").mapInArrow(plan.counted(tables), "t int, bucket long, met long, n long")
+                found = durable(found.groupBy("t", "bucket", "met").agg(F.sum("n").alias("n")), "bucket-sizes")
+                # Of these, too, there is at most one for each block_rows nodes and table.
+                large = found.groupBy("t", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > self.block_rows).collect()
+                apart = found.where((F.col("met") != 0) & (F.col("n") > self.block_rows)).collect()
+                plan.divide([(r.t, r.bucket, r.n) for r in large], [(r.t, r.bucket, r.met, r.n) for r in apart])
+                release(found)
+            self._layout = plan
+        return self._layout
+
+    def _compared(self, nodes: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> Iterator[DataFrame]:
+        """What ``work`` gives for the block pairs of each wave, as durable tables."""
+        plan, dim = self.layout(), self.dim
+        for units in plan.waves(max(2 * plan.rows, _WAVE_ROWS)):
+            pairs = nodes.mapInArrow(plan.dealt(units), PACKED)
+            yield durable(pairs.groupBy("key").applyInArrow(lambda t: work(unpacked(t, dim)), schema), "wave")
+            del pairs
+            collect_garbage(nodes)
 
     def core_distances(self) -> DataFrame | None:
         """(node, core): distance to the ``min_samples``-th nearest record, itself counted; nodes without so many are left out."""
@@ -197,11 +194,19 @@ class DensityClusters:
         if k <= 1:
             return None
 
-        found = self._blocks().groupBy("key").applyInArrow(lambda t: nearest(t, dim, cos, k), "node long, other long, copies int, distance float").groupBy("node", "other").agg(F.first("copies").alias("copies"), F.min("distance").alias("distance"))
-        own = self.vectors.groupBy("node").agg(F.countDistinct("id").cast("int").alias("copies")).select("node", F.col("node").alias("other"), "copies", F.lit(0.0).cast("float").alias("distance"))
-        # At most min_samples neighbours a node and block pair arrive here, so the windows are short.
-        seen = F.sum("copies").over(Window.partitionBy("node").orderBy("distance", "other").rowsBetween(Window.unboundedPreceding, 0))
-        return found.union(own).withColumn("seen", seen).where(F.col("seen") >= k).groupBy("node").agg(F.min("distance").alias("core"))
+        own = self.nodes.select("node", F.col("node").alias("other"), "copies", F.lit(0.0).cast("float").alias("distance"))
+        near = Window.partitionBy("node").orderBy("distance", "other")
+        best = None
+        for found in self._compared(self.nodes, lambda t: nearest(t, dim, cos, k), "node long, other long, copies int, distance float"):
+            # At most min_samples neighbours a node and block pair arrive here, so the windows are short.
+            both = (found if best is None else found.union(best)).groupBy("node", "other").agg(F.first("copies").alias("copies"), F.min("distance").alias("distance"))
+            last, best = best, durable(both.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).drop("r"), "nearest")
+            release(found)
+            if last is not None:
+                release(last)
+        seen = F.sum("copies").over(near.rowsBetween(Window.unboundedPreceding, 0))
+        every = own if best is None else best.union(own)
+        return every.withColumn("seen", seen).where(F.col("seen") >= k).groupBy("node").agg(F.min("distance").alias("core"))
 
     def forest(self) -> tuple[DataFrame, DataFrame]:
         """The minimum spanning forest (a, b, w) under mutual reachability, and (node, comp)."""
@@ -210,8 +215,13 @@ class DensityClusters:
 
             core = self.core_distances()
             self._core = durable(core, "core-distances") if core is not None else None
-            edges = self._blocks(self._core).groupBy("key").applyInArrow(lambda t: thinned(t, dim, cos), "a long, b long, w double")
-            tree, labels = boruvka(edges)
+            nodes = self.nodes if self._core is None else durable(self.nodes.drop("core").join(self._core, "node").select("s", "node", "copies", "core", "vec"), "core-nodes")
+            waves = list(self._compared(nodes, lambda t: thinned(t, dim, cos), "a long, b long, w double"))
+            if nodes is not self.nodes:
+                release(nodes)
+            tree, labels = boruvka(reduce(DataFrame.union, waves))
+            for wave in waves:
+                release(wave)
             self._tree = durable(tree, "spanning-forest"), labels
         return self._tree
 
@@ -227,7 +237,7 @@ class DensityClusters:
         (cluster_key, size, stability, exemplars) with the ids of the most persistent members; ties go by core
         distance, then by id."""
         tree, labels = self.forest()
-        counts = durable(self.vectors.groupBy("node").agg(F.countDistinct("id").alias("copies")), "node-copies")
+        counts = self.nodes.select("node", F.col("copies").cast("long").alias("copies"))
         chosen, stability = condensed(tree, labels, counts, 1 - self.cos, self.min_size, at_once)
         if self._core is not None:
             chosen = chosen.join(self._core, "node", "left")
